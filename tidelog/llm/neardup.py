@@ -7,9 +7,10 @@ winner can't matter, so a shingle stops there.  Two texts agree in a register
 with the probability of their probability Jaccard similarity.
 
 Equal bands make candidates.  Members of a bucket are verified against its least member first,
-which joins most groups with one pair a member; only where a bucket then still holds
-several classes are its other pairs verified, so no link among candidates is lost and a
-large group of copies never emits all its pairs.
+which joins most groups with one pair a member.  Only where a bucket then still holds
+several classes are its members compared further, block by block, by products of their
+shingle matrices; what comes out is one link for each two classes that have any.  So no link among
+candidates is lost, and no group emits its pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ BANDS, ROWS = 24, 4
 REMEMBERED = 300_000
 #: Words handled at once.
 CHUNK_WORDS = 400_000
+#: Texts, and bytes of their shingles, of one block of a large bucket; cells of a matrix.
+BLOCK_MEMBERS = 1024
+BLOCK_BYTES = 16 << 20
+MATRIX_CELLS = 4_000_000
 GOLDEN, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 ELEMENT_BITS = 48
 
@@ -176,6 +181,79 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataF
     return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
+def class_links(first: list[tuple[bytes, bytes, bytes]], second: list[tuple[bytes, bytes, bytes]] | None, similar: float) -> list[tuple[bytes, bytes]]:
+    """One link for each two classes that have any, within ``first`` or between it and ``second``.
+
+    Members are (node, root, packed).  Shared shingles of all pairs are a matrix product over the shingles
+    that more than one member has; texts with repeated shingles are compared exactly where
+    the shared part of their weight allows a link.
+    """
+    members = first + (second or [])
+    n, split = len(members), len(first)
+    sets = [np.frombuffer(p, np.int64).reshape(2, -1) for _, _, p in members]
+    sizes = np.array([x.shape[1] for x in sets], float)
+    _, roots = np.unique(np.array([r.hex() for _, r, _ in members]), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes.astype(int))
+    _, column, count = np.unique(np.concatenate([x[0] for x in sets]), return_inverse=True, return_counts=True)
+    weight = np.concatenate([x[1] / max(1, x[1].sum()) for x in sets])
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    at = shared[column]
+    owner, column, weight = owner[at], number[column[at]], weight[at]
+    order = np.argsort(column, kind="stable")
+    owner, column, weight = owner[order], column[order], weight[order]
+    repeated = np.array([bool((x[1] > 1).any()) for x in sets])
+    both, mass = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    width = max(1, MATRIX_CELLS // n)
+    for low in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [low, low + width])
+        has = np.zeros((n, width), np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        both += has @ has.T
+        if repeated.any():
+            part = np.zeros((n, width), np.float32)
+            part[owner[a:b], column[a:b] - low] = weight[a:b]
+            mass += part @ has.T
+    other = roots[:, None] != roots[None, :]
+    other &= np.triu(np.ones((n, n), bool), 1)
+    if second is not None:
+        other[:split, :split] = False
+        other[split:, split:] = False
+    exact = both.astype(float)
+    near = other & (exact >= similar * (sizes[:, None] + sizes[None, :] - exact))
+    maybe = other & ~near & (repeated[:, None] | repeated[None, :]) & (np.minimum(mass, mass.T) >= similar - 1e-4)
+    out: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    for pairs, sure in ((np.argwhere(near), True), (np.argwhere(maybe), False)):
+        for i, j in pairs:
+            key = (min(roots[i], roots[j]), max(roots[i], roots[j]))
+            if key not in out and (sure or max(similarity(members[i][2], members[j][2])) >= similar):
+                out[key] = (members[i][0], members[j][0])
+    return list(out.values())
+
+
+def across(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links ``a, b`` between classes that meet in a bucket; members are ``key, node, root``.
+
+    A bucket is one group of at most ``BLOCK_MEMBERS`` texts and ``BLOCK_BYTES``; a larger one is dealt into blocks
+    that are compared two at a time, so a task's memory doesn't grow with the bucket.
+    No pair is emitted but one link for each two classes that a block pair joins.
+    """
+    full = members.join(sets, "node")
+    blocks = full.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.octet_length("packed")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = full.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "node", "root", "packed")
+
+    def link(group: pa.Table) -> pa.Table:
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        rows_ = list(zip(*(group.column(x).to_pylist() for x in ("own", "node", "root", "packed"))))
+        first = [r[1:] for r in rows_ if r[0] == low]
+        found = class_links(first, None if low == high else [r[1:] for r in rows_ if r[0] == high], similar)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return paired.groupBy("key", "low", "high").applyInArrow(link, "a binary, b binary")
+
+
 def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """``node, packed`` for the given texts (``node, doc``): shingles and weights as int64."""
 
@@ -238,13 +316,10 @@ def classes(documents: DataFrame, similar: float = SIMILAR, bands: int = BANDS,
     sets = _sets(documents, nodes.join(candidates, "node").select("node", "doc"), size)
     edges = materialise(verify(pairs, sets, similar))
     state = components(edges)
-    # Buckets that still hold several classes: their other pairs across classes, each once.
-    labelled = buckets.join(state, "node", "left").select("key", "leader", "node", F.coalesce("root", "node").alias("root"))
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-    rest = materialise(labelled.join(open_, "key").where("leader != node"))
-    left, right = (rest.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    more = left.join(right, "key").where("a < b and root_a != root_b").select("a", "b").distinct()
-    late = materialise(verify(more, sets, similar))
+    # Buckets of three or more that still hold several classes: one link for each two classes that have any.
+    labelled = buckets.join(state, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least != most and n > 2").select("key")
+    late = materialise(across(labelled.join(open_, "key"), sets, similar))
     if not late.isEmpty():
         state = components(materialise(edges.union(late)))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node"))
