@@ -152,11 +152,12 @@ def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tu
 
     counts = documents.select(language().alias("lang"), utf8().alias("text")).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = counts.withColumns({"kind": F.when(F.substring("word", 1, 1) == F.lit(b"\x00"), 1).otherwise(0), "salt": F.pmod(F.hash("word"), F.lit(64))})
+    most = F.when(F.col("kind") == 1, len(CLASSES)).otherwise(rules.common_words)
     by_task = Window.partitionBy("lang", "kind", "salt").orderBy(F.desc("n"), "word")
     lettered = (F.col("kind") == 1) | F.decode("word", "UTF-8").rlike(r"\p{L}")
-    near = counts.where(lettered).withColumn("place", F.row_number().over(by_task)).where(F.col("place") <= rules.common_words)
+    near = counts.where(lettered).withColumn("place", F.row_number().over(by_task)).where(F.col("place") <= most)
     total = counts.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("all"))
-    top = near.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))).where(F.col("place") <= rules.common_words)
+    top = near.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))).where(F.col("place") <= most)
     references: dict = {}
     for row in top.join(total, "lang", "left").collect():
         classes, words, _ = references.setdefault(row["lang"], ([0.0] * len(CLASSES), {}, float(row["all"] or 0)))
