@@ -6,6 +6,7 @@ type raises in the query (``strict``, the default) or becomes null.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -111,7 +112,7 @@ def unsigned(value: Column, strict: bool = True) -> Column:
     """0 to 2^64 - 1."""
     text = F.trim(value.cast("string"))
     number = text.try_cast("decimal(20,0)")
-    return _or_raise(value, text.rlike(r"^[0-9]+\z") & (number <= F.lit(2**64 - 1).cast("decimal(20,0)")), number.cast("string"), "unsigned integer", strict)
+    return _or_raise(value, text.rlike(r"^[0-9]+\z") & (number <= F.lit(Decimal(2**64 - 1))), number.cast("string"), "unsigned integer", strict)
 
 
 def floating(value: Column, kind: str = "double", strict: bool = True) -> Column:
