@@ -175,6 +175,14 @@ def test_targets():
     assert evolve.postgres_target_problems(own_table(), good | {"age": {"type": "BIGINT", "nullable": True}}, ("id",))
 
 
+def test_missing_columns_and_keys():
+    assert [c.name for c in evolve.missing_columns(own_table(), {"ID": {}, "name": {}}, True)] == ["age"]
+    evolve.check_keys(own_table(), ("ID",))
+    for bad in (lambda: evolve.missing_columns(own_table(), {}, False), lambda: evolve.check_keys(own_table(), ("id", "name"))):
+        with pytest.raises(s.SchemaError):
+            bad()
+
+
 # --- schema ------------------------------------------------------------------------------
 
 

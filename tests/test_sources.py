@@ -55,7 +55,9 @@ def test_starts(spark):
     got = lambda *a, **k: sorted(r["seq"] for r in s.from_start(rows, s.Startup(*a, **k), 2).collect())
     assert got("snapshot") == [] and got("initial") == [3, 4, 5, 6, 7, 8] and got("latest") == [3, 4, 5, 6, 7, 8] and got("earliest") == list(range(1, 9))
     assert got("specific-offset", seq=7) == [7, 8] and got("timestamp", timestamp_ms=4999) == [4, 6, 7, 8] and got("earliest", skip_rows=3) == [5, 6, 7, 8] and got("earliest", skip_rows=99) == []
-    assert got("specific-offset", seq=99, skip_rows=2) == []
+    assert got("specific-offset", seq=99, skip_rows=2) == [] and got("earliest", skip_events=3) == [4, 5, 6, 7, 8] and got("earliest", skip_events=1, skip_rows=2) == [5, 6, 7, 8]
+    tables = rows.withColumns({"source_db": F.lit("d"), "source_table": F.lit("t")})
+    assert s.without_replays(tables.union(tables)).count() == 8 and s.without_ddl(rows, False).count() == 7 and s.without_ddl(rows, True).count() == 8
 
 
 @pytest.mark.parametrize(("a", "b", "c", "resumed", "created"), [(False, True, False, "ignored", "drop"), (False, False, True, "ignored", "follow"), (True, True, False, "snapshot", "drop"), (True, True, True, "snapshot", "follow"), (True, False, False, "changes_only", "drop"), (True, False, True, "changes_only", "follow")])

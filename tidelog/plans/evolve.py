@@ -78,6 +78,21 @@ def doris_target_problems(source: Table, target: dict[str, dict], target_keys: t
     return out
 
 
+def missing_columns(source: Table, target: dict[str, dict], enabled: bool) -> list[Column]:
+    """Columns that a target lacks and that schema evolution may add; raises where it is off."""
+    there = {n.casefold() for n in target}
+    out = [c for c in source.columns if c.name.casefold() not in there]
+    if out and not enabled:
+        raise SchemaError(f"{source.id}: the target lacks column {out[0].name} and schema changes are off")
+    return out
+
+
+def check_keys(table: Table, keys: tuple[str, ...]) -> None:
+    """Raises where an event's keys aren't the table's primary key, as sets."""
+    if keys and {k.casefold() for k in keys} != {k.casefold() for k in table.primary_keys}:
+        raise SchemaError(f"{table.id}: event keys {list(keys)} are not the primary key {list(table.primary_keys)}")
+
+
 def postgres_target_problems(source: Table, target: dict[str, dict], target_keys: tuple[str, ...]) -> list[str]:
     """The same for PostgreSQL: types must be equal; a column that is missing is tolerated."""
     out = []

@@ -39,7 +39,7 @@ def prepare(pipeline: Pipeline, source: Source) -> list[Prepared]:
     names = selected(source, pipeline.source.selector)
     for target, sources in colliding_targets(pipeline.routes, names, first_only).items():
         log.warning("%s is written from %s", ".".join(target), sources)
-    start = Startup(pipeline.source.mode, seq=pipeline.source.offset_pos, timestamp_ms=pipeline.source.timestamp_ms, skip_rows=pipeline.source.skip_rows)
+    start = Startup(pipeline.source.mode, seq=pipeline.source.offset_pos, timestamp_ms=pipeline.source.timestamp_ms, skip_rows=pipeline.source.skip_rows, skip_events=pipeline.source.skip_events)
     out = []
     for database, name in names:
         rule = match_rule(pipeline.rules, database, name)

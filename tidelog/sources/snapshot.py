@@ -73,6 +73,7 @@ class Startup:
     seq: int | None = None
     timestamp_ms: int | None = None
     skip_rows: int = 0
+    skip_events: int = 0
 
     @property
     def reads_snapshot(self) -> bool:
@@ -88,8 +89,8 @@ def from_start(changes: DataFrame, start: Startup, low_watermark: int = 0) -> Da
 
     ``initial`` replays from the position noted before the snapshot, so what both hold
     converges by key; ``latest`` starts behind it.  A timestamp counts whole seconds; events of
-    unknown time are before it.  ``skip_rows`` passes over the first rows by ``seq``: the bound is
-    found by a top-n, which each task cuts down by itself.
+    unknown time are before it.  ``skip_events`` passes over the first events by ``seq``, ``skip_rows`` over
+    the first row changes: the bound is found by a top-n, which each task cuts down by itself.
     """
     if not start.reads_changes:
         return changes.limit(0)
@@ -101,11 +102,26 @@ def from_start(changes: DataFrame, start: Startup, low_watermark: int = 0) -> Da
         changes = changes.where(F.col("seq") >= start.seq)
     elif start.mode == "timestamp":
         changes = changes.where(F.col("source_ts_ms") >= start.timestamp_ms // 1000 * 1000)
-    if start.skip_rows:
-        first = changes.where("op != 'ddl'").select("seq").orderBy("seq").limit(start.skip_rows)
-        bound = first.agg(F.max("seq").alias("bound"), F.count("*").alias("n"))
-        changes = changes.join(F.broadcast(bound)).where(F.col("bound").isNull() | (F.col("seq") > F.col("bound"))).select(*changes.columns)
-    return changes
+    changes = _behind_first(changes, changes, start.skip_events)
+    return _behind_first(changes, changes.where("op != 'ddl'"), start.skip_rows)
+
+
+def _behind_first(changes: DataFrame, counted: DataFrame, n: int) -> DataFrame:
+    """Changes behind the first n of ``counted``; the bound is one row, so it can be broadcast."""
+    if not n:
+        return changes
+    bound = counted.select("seq").orderBy("seq").limit(n).agg(F.max("seq").alias("bound"))
+    return changes.join(F.broadcast(bound)).where(F.col("bound").isNull() | (F.col("seq") > F.col("bound"))).select(*changes.columns)
+
+
+def without_replays(changes: DataFrame) -> DataFrame:
+    """Each change once, though a source sent it again after a restart."""
+    return changes.dropDuplicates(["source_db", "source_table", "seq"])
+
+
+def without_ddl(changes: DataFrame, schema_change: bool) -> DataFrame:
+    """The source's switch: statements are dropped where schema changes are off."""
+    return changes if schema_change else changes.where("op != 'ddl'")
 
 
 @dataclass(frozen=True)
