@@ -222,7 +222,7 @@ def create_doris(t: Table, buckets: str = "auto", replication: int = 0) -> str:
     if not t.primary_keys:
         raise SchemaError(f"doris: table {t.id} has no primary key")
     if buckets != "auto" and not (buckets.isdigit() and int(buckets) > 0):
-        raise SchemaError("doris: buckets must be auto or a positive integer")
+        raise SchemaError("doris: buckets are neither auto nor a positive number")
     keys = []
     for k in t.primary_keys:
         c = t.column(k)
@@ -270,27 +270,27 @@ def mapping_conflict(c: Column, target: dict, root_dynamic: str = "") -> str | N
     kind = target.get("type") or ("object" if target.get("properties") else "")
     if own["type"] in RANKS:
         if kind not in RANKS:
-            return "expected an integer field"
+            return "the field holds no integers"
         if kind == "unsigned_long" and not t.unsigned:
-            return "signed values cannot be stored in unsigned_long"
-        return "value range exceeds the field range" if RANKS[kind] < RANKS[own["type"]] else None
+            return "the field holds no negative numbers"
+        return "the field is too narrow" if RANKS[kind] < RANKS[own["type"]] else None
     if t.base == "float":
-        return None if kind in ("float", "double") else "expected float or double"
+        return None if kind in ("float", "double") else "the field holds no floating numbers"
     if t.base in ("char", "varchar", *TEXT_TYPES):
-        return None if kind in ("keyword", "text") else "expected keyword or text"
+        return None if kind in ("keyword", "text") else "the field holds no text"
     if kind != own["type"]:
-        return f"expected a {own['type']} field"
+        return f"the field is no {own['type']}"
     if own["type"] == "date" and target.get("format") != own["format"]:
-        return f"date field needs format {own['format']!r}"
+        return f"the field's format is not {own['format']!r}"
     if own["type"] == "object" and root_dynamic in ("strict", "false") and target.get("dynamic") is not True:
-        return 'object field under this dynamic mapping needs "dynamic": true'
+        return 'the field takes no new properties'
     return None
 
 
 def mapping_conflicts(t: Table, properties: dict[str, dict], root_dynamic: str = "") -> dict[str, str]:
     out = {}
     for c in t.columns:
-        why = mapping_conflict(c, properties[c.name], root_dynamic) if c.name in properties else "missing from the mapping"
+        why = mapping_conflict(c, properties[c.name], root_dynamic) if c.name in properties else "the mapping lacks it"
         if why:
             out[c.name] = why
     return out

@@ -221,14 +221,14 @@ def parse_source(raw: object) -> Block:
     if isinstance(raw, dict):
         properties = {k[len("jdbc.properties.") :]: str(v) for k, v in raw.items() if k.startswith("jdbc.properties.")}
         if "" in properties:
-            raise ConfigError("source.jdbc.properties.", "missing property name")
+            raise ConfigError("source.jdbc.properties.", "the property has no name")
         raw = {k: v for k, v in raw.items() if not k.startswith("jdbc.properties.")}
     own = read_block("source", raw, SOURCE_KEYS, SOURCE_REFUSED)
     need("source", own, "hostname", "username", "password")
     out = Block(SOURCE_DEFAULTS | own | {"jdbc_properties": properties})
     out["selector"] = Selector.of(out.get("tables", ""), out.tables_exclude)
     if out.mode == "specific-offset" and not out.offset_gtid and not (out.offset_file and out.offset_pos):
-        raise ConfigError("source.scan.startup.specific-offset", "file and pos, or gtid-set, are required")
+        raise ConfigError("source.scan.startup.specific-offset", "give file and pos, or gtid-set")
     if out.mode == "timestamp" and not out.timestamp_ms:
         raise ConfigError("source.scan.startup.timestamp-millis", "required")
     return out
@@ -246,31 +246,31 @@ def _check_sink(kind: str, out: Block) -> None:
     elif kind == "kafka":
         need("sink", out, "brokers", "topic")
         if re.search(r"\s", out.topic):
-            raise ConfigError("sink.topic", "must not contain whitespace")
+            raise ConfigError("sink.topic", "has white space")
     elif kind == "doris":
         need("sink", out, "hostname", "username")
         if "://" in out.hostname or re.search(r"[/?#]", out.hostname):
-            raise ConfigError("sink.hostname", "must be a host name without scheme or path")
+            raise ConfigError("sink.hostname", "give a bare host name")
         for attribute, key in (("partial_update", "partial-update.enabled"), ("deletes", "delete.enabled"), ("drop_truncate", "schema.change.drop-truncate.enabled")):
             if out.get(attribute):
                 raise ConfigError(f"sink.{key}", "not supported by this sink")
         if set(out.include) - {"add.column"}:
             raise ConfigError("sink.schema.change.include", "only add.column is supported")
         if out.buckets != "auto" and not (out.buckets.isdigit() and int(out.buckets)):
-            raise ConfigError("sink.buckets", "must be auto or a positive integer")
+            raise ConfigError("sink.buckets", "neither auto nor a positive number")
     elif kind == "postgresql":
         need("sink", out, "hostname", "username", "password", "database")
         for name in ("database", "schema"):
             if not out[name] or "." in out[name]:
-                raise ConfigError(f"sink.{name}", "must be a single name without dots")
+                raise ConfigError(f"sink.{name}", "give one name without dots")
         if unknown := [x for x in out.include if x not in CHANGE_KINDS]:
-            raise ConfigError("sink.schema.change.include", f"unsupported schema change {unknown[0]!r}")
+            raise ConfigError("sink.schema.change.include", f"{unknown[0]!r} is no change that this sink makes")
     elif kind == "elasticsearch":
         need("sink", out, "hosts")
         if any(not re.match(r"https?://[^/\s]+", h) for h in out.hosts):
-            raise ConfigError("sink.hosts", "entries are http or https URLs")
+            raise ConfigError("sink.hosts", "give http or https URLs")
         if out.version not in (7, 8, 9):
-            raise ConfigError("sink.version", "must be 7, 8 or 9")
+            raise ConfigError("sink.version", "is none of 7, 8, 9")
         if bool(out.get("username")) != bool(out.get("password")):
             raise ConfigError("sink.username", "username and password go together")
         out["bulk_bytes"] = out.bulk_bytes or TYPE_DEFAULTS[kind]["bulk_bytes"]
@@ -297,7 +297,7 @@ def parse_sink(raw: object) -> Block:
         raise ConfigError("sink.type", f"unknown type {kind}" if kind else "required")
     for key in sorted(raw):
         if key in SINK_KEYS and kind not in SINK_KEYS[key][2]:
-            raise ConfigError(f"sink.{key}", f"only valid for sink.type {', '.join(SINK_KEYS[key][2])}")
+            raise ConfigError(f"sink.{key}", f"belongs to {', '.join(SINK_KEYS[key][2])}")
     own = read_block("sink", raw, COMMON_SINK | {k: (a, r) for k, (a, r, _) in SINK_KEYS.items()})
     out = Block(SINK_DEFAULTS | TYPE_DEFAULTS.get(kind, {}) | own)
     _check_sink(kind, out)
@@ -312,12 +312,12 @@ def _items(name: str, raw: object, known: tuple[str, ...], ignored: tuple[str, .
     out = []
     for i, item in enumerate(raw):
         if not isinstance(item, dict):
-            raise ConfigError(name, f"item {i} must be a map")
+            raise ConfigError(name, f"entry {i} is no mapping")
         if unknown := [k for k in item if k not in known and k not in ignored]:
-            raise ConfigError(name, f"item {i}: unknown field {unknown[0]}")
+            raise ConfigError(name, f"entry {i} has the unknown field {unknown[0]}")
         own = {k: str(v) for k, v in item.items() if k in known}
         if not own.get("source-table"):
-            raise ConfigError(name, f"item {i}: source-table is required")
+            raise ConfigError(name, f"entry {i} lacks source-table")
         out.append(own)
     return out
 
@@ -327,7 +327,7 @@ def parse_routes(raw: object) -> list[Route]:
     for i, item in enumerate(_items("route", raw, ("source-table", "sink-table", "replace-symbol", "description"))):
         sink = item.get("sink-table", "")
         if "." not in sink:
-            raise ConfigError("route", f"item {i}: sink-table must be database.table")
+            raise ConfigError("route", f"entry {i}: sink-table needs the form database.table")
         out.append(Route(compile_pattern("route", item["source-table"]), sink, item.get("replace-symbol", "")))
         out[-1].target("x")
     return out
@@ -343,7 +343,7 @@ def parse_transforms(raw: object) -> list[Rule]:
         except ConfigError:
             raise
         except ValueError as e:
-            raise ConfigError("transform", f"item {i}: filter: {e}") from e
+            raise ConfigError("transform", f"entry {i}, filter: {e}") from e
     return out
 
 
@@ -444,7 +444,7 @@ def load_pipeline(root: object) -> Pipeline:
     routes, rules = parse_routes(root.get("route")), parse_transforms(root.get("transform"))
     runtime = read_block("pipeline", root.get("pipeline"), RUNTIME_KEYS)
     if not runtime:
-        raise ConfigError("pipeline", "at least one parameter is required")
+        raise ConfigError("pipeline", "is empty")
     runtime = Block(dict(name="cdc", parallelism=1, route_mode="ALL_MATCH") | runtime)
     need("pipeline", runtime, "name")
     checkpoint = Block(dict(storage="file", interval=10.0, file_path="./checkpoints") | (read_block("checkpoint", root["checkpoint"], CHECKPOINT_KEYS) if root.get("checkpoint") is not None else {}))
