@@ -110,8 +110,8 @@ def repeated_words(ids: np.ndarray) -> int:
 def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[float], dict[bytes, float], float]]:
     """For each language: class counts, counts of its most common words (those with a letter), all its words.
 
-    Counts cover every whole text.  Each task counts by itself; only its sums are
-    exchanged, and the most common words are chosen in two steps, so that the words of
+    Counts cover every whole text.  Each task counts by itself, in one pass (class and word totals
+    go along as words with a space, which no text has); only its sums are exchanged, and the most common words are chosen in two steps, so that the words of
     one large language are never ordered in one task.  What reaches the driver is at
     most 18,253 languages times ``common_words`` and the classes.
     """
@@ -128,9 +128,9 @@ def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tu
                 word += [names[i] for i in at]
                 n += total[at].tolist()
             for k, total in chars.items():
-                lang += [k] * len(CLASSES)
-                word += [b"\x00%d" % i for i in range(len(CLASSES))]
-                n += total.tolist()
+                lang += [k] * (len(CLASSES) + 1)
+                word += [b" %d" % i for i in range(len(CLASSES) + 1)]
+                n += [*total.tolist(), int(sums[k].sum())]
             ids.clear(), sums.clear(), chars.clear()
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
@@ -151,22 +151,21 @@ def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tu
         yield flush()
 
     counts = documents.select(language().alias("lang"), utf8().alias("text")).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counts.withColumns({"kind": F.when(F.substring("word", 1, 1) == F.lit(b"\x00"), 1).otherwise(0), "salt": F.pmod(F.hash("word"), F.lit(64))})
-    most = F.when(F.col("kind") == 1, len(CLASSES)).otherwise(rules.common_words)
+    counts = counts.withColumns({"kind": F.when(F.substring("word", 1, 1) == F.lit(b" "), 1).otherwise(0), "salt": F.pmod(F.hash("word"), F.lit(64))})
+    most = F.when(F.col("kind") == 1, len(CLASSES) + 1).otherwise(rules.common_words)
     by_task = Window.partitionBy("lang", "kind", "salt").orderBy(F.desc("n"), "word")
     lettered = (F.col("kind") == 1) | F.decode("word", "UTF-8").rlike(r"\p{L}")
     near = counts.where(lettered).withColumn("place", F.row_number().over(by_task)).where(F.col("place") <= most)
-    total = counts.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("all"))
     top = near.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))).where(F.col("place") <= most)
     references: dict = {}
-    for row in top.join(total, "lang", "left").collect():
-        classes, words, _ = references.setdefault(row["lang"], ([0.0] * len(CLASSES), {}, float(row["all"] or 0)))
+    for row in top.collect():
+        classes, words = references.setdefault(row["lang"], ([0.0] * (len(CLASSES) + 1), {}))
         word = bytes(row["word"])
         if row["kind"]:
             classes[int(word[1:])] = float(row["n"])
         else:
             words[word] = float(row["n"])
-    return references
+    return {lang: (classes[:-1], words, classes[-1]) for lang, (classes, words) in references.items()}
 
 
 def _judge(references: dict, rules: Rules):
