@@ -9,7 +9,7 @@ with the probability of their probability Jaccard similarity.
 Equal bands make candidates.  Members of a bucket are verified against its least member first,
 which joins most groups with one pair a member.  Only where a bucket then still holds
 several classes are its members compared further, block by block, by products of their
-shingle matrices; what comes out is one link for each two classes that have any.  So no link among
+shingle matrices; what comes out is which classes are joined.  So no link among
 candidates is lost, and no group emits its pairs.
 """
 
@@ -182,7 +182,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataF
 
 
 def class_links(first: list[tuple[bytes, bytes, bytes]], second: list[tuple[bytes, bytes, bytes]] | None, similar: float) -> list[tuple[bytes, bytes]]:
-    """One link for each two classes that have any, within ``first`` or between it and ``second``.
+    """Classes that links join, within ``first`` or between it and ``second``: each with the least of them.
 
     Members are (node, root, packed).  Shared shingles of all pairs are a matrix product over the shingles
     that more than one member has; texts with repeated shingles are compared exactly where
@@ -192,7 +192,7 @@ def class_links(first: list[tuple[bytes, bytes, bytes]], second: list[tuple[byte
     n, split = len(members), len(first)
     sets = [np.frombuffer(p, np.int64).reshape(2, -1) for _, _, p in members]
     sizes = np.array([x.shape[1] for x in sets], float)
-    _, roots = np.unique(np.array([r.hex() for _, r, _ in members]), return_inverse=True)
+    names, roots = np.unique(np.array([r.hex() for _, r, _ in members]), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes.astype(int))
     _, column, count = np.unique(np.concatenate([x[0] for x in sets]), return_inverse=True, return_counts=True)
     weight = np.concatenate([x[1] / max(1, x[1].sum()) for x in sets])
@@ -214,29 +214,38 @@ def class_links(first: list[tuple[bytes, bytes, bytes]], second: list[tuple[byte
             part = np.zeros((n, width), np.float32)
             part[owner[a:b], column[a:b] - low] = weight[a:b]
             mass += part @ has.T
-    other = roots[:, None] != roots[None, :]
-    other &= np.triu(np.ones((n, n), bool), 1)
+    same = roots[:, None] == roots[None, :]
+    other = ~same
     if second is not None:
         other[:split, :split] = False
         other[split:, split:] = False
     exact = both.astype(float)
     near = other & (exact >= similar * (sizes[:, None] + sizes[None, :] - exact))
-    maybe = other & ~near & (repeated[:, None] | repeated[None, :]) & (np.minimum(mass, mass.T) >= similar - 1e-4)
-    out: dict[tuple[int, int], tuple[bytes, bytes]] = {}
-    for pairs, sure in ((np.argwhere(near), True), (np.argwhere(maybe), False)):
-        for i, j in pairs:
-            key = (min(roots[i], roots[j]), max(roots[i], roots[j]))
-            if key not in out and (sure or max(similarity(members[i][2], members[j][2])) >= similar):
-                out[key] = (members[i][0], members[j][0])
-    return list(out.values())
+    maybe = np.triu(other & ~near & (repeated[:, None] | repeated[None, :]) & (np.minimum(mass, mass.T) >= similar - 1e-4))
+    # The least member that each is joined to, by way of links and of classes.
+    joined, least = near | same, np.arange(n)
+    while True:
+        lower = np.where(joined, least[None, :], n).min(1)
+        lower = lower[lower]
+        if (lower == least).all():
+            break
+        least = lower
+    for i, j in np.argwhere(maybe):
+        if least[i] != least[j] and max(similarity(members[i][2], members[j][2])) >= similar:
+            least = np.where(least == max(least[i], least[j]), min(least[i], least[j]), least)
+    head = {}
+    for i in np.lexsort((roots, least)):
+        head.setdefault(least[i], roots[i])
+    out = {(head[x], r) for x, r in zip(least.tolist(), roots.tolist()) if head[x] != r}
+    return [(bytes.fromhex(str(names[a])), bytes.fromhex(str(names[b]))) for a, b in sorted(out)]
 
 
 def across(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links ``a, b`` between classes that meet in a bucket; members are ``key, node, root``.
+    """Classes ``a, b`` that meet in a bucket and are joined there; members are ``key, node, root``.
 
     A bucket is one group of at most ``BLOCK_MEMBERS`` texts and ``BLOCK_BYTES``; a larger one is dealt into blocks
     that are compared two at a time, so a task's memory doesn't grow with the bucket.
-    No pair is emitted but one link for each two classes that a block pair joins.
+    No pair of members is emitted, only each joined class with the least it is joined to.
     """
     full = members.join(sets, "node")
     blocks = full.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.octet_length("packed")) / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -251,7 +260,7 @@ def across(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
         found = class_links(first, None if low == high else [r[1:] for r in rows_ if r[0] == high], similar)
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return paired.groupBy("key", "low", "high").applyInArrow(link, "a binary, b binary")
+    return paired.groupBy("key", "low", "high").applyInArrow(link, "a binary, b binary").distinct()
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -316,12 +325,14 @@ def classes(documents: DataFrame, similar: float = SIMILAR, bands: int = BANDS,
     sets = _sets(documents, nodes.join(candidates, "node").select("node", "doc"), size)
     edges = materialise(verify(pairs, sets, similar))
     state = components(edges)
-    # Buckets of three or more that still hold several classes: one link for each two classes that have any.
+    # Buckets of three or more that still hold several classes: which of these are joined after all.
     labelled = buckets.join(state, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_ = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least != most and n > 2").select("key")
     late = materialise(across(labelled.join(open_, "key"), sets, similar))
     if not late.isEmpty():
-        state = components(materialise(edges.union(late)))
+        tops = components(late).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        every = labelled.select("node", "root").distinct()
+        state = materialise(every.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node"))
     ids = nodes.join(state, "node").groupBy("root").agg(first.alias("keeper"))
     keeper = lambda x: F.when(F.col("keeper").isNotNull(), F.col(f"keeper.{x}")).otherwise(F.col("doc" if x == "doc" else "node"))
