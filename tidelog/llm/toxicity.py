@@ -74,29 +74,24 @@ def pick_features(sample: list[tuple[list[bytes], int]]) -> set[bytes]:
     takes back ``OTHER_WEIGHT``, or more where toxic documents are rare.  It must also stand between enough different
     neighbours, so that copies of one document are no evidence.
     """
-    contexts: dict[bytes, set] = defaultdict(set)
     toxic, other = defaultdict(int), defaultdict(int)
     n, features_of = [0, 0], FeaturesOf()
     for words, label in sample:
         n[label] += 1
-        seen = set()
-        for w in set(words):
-            seen.update(features_of[w])
-        for i, w in enumerate(words) if label else ():
-            for f in features_of[w]:
-                if len(contexts[f]) < 64:
-                    contexts[f].add((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""))
         count = toxic if label else other
-        for f in seen:
+        for f in {f for w in set(words) for f in features_of[w]}:
             count[f] += 1
     share = n[1] / max(1, sum(n))
     needed = (math.log(max(1, len(toxic))) - math.log(CHANCE)) / -math.log(max(1e-9, min(share, 0.5)))
-    strong = set()
-    for f, c in toxic.items():
-        clean = c - max(OTHER_WEIGHT, 1 / max(share, 1e-3)) * other[f]
-        if clean >= needed and len(contexts[f]) >= max(MIN_CONTEXTS, needed / 2):
-            strong.add(f)
-    return strong
+    weight = max(OTHER_WEIGHT, 1 / max(share, 1e-3))
+    likely = {f for f, c in toxic.items() if c - weight * other[f] >= needed}
+    contexts: dict[bytes, set] = defaultdict(set)
+    for words, label in sample:
+        for i, w in enumerate(words) if label else ():
+            for f in features_of[w]:
+                if f in likely and len(contexts[f]) < 64:
+                    contexts[f].add((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""))
+    return {f for f in likely if len(contexts[f]) >= max(MIN_CONTEXTS, needed / 2)}
 
 
 def _chains(sample: list[tuple[list[bytes], int]], strong: set[bytes]) -> dict[tuple, int]:
@@ -256,7 +251,8 @@ class Scorer:
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     """Train on the bounded sample.  Without toxic or without other rows the model
     knows no feature and gives every text the (smoothed) share of toxic rows."""
-    sample = [(text.translate(ALNUM).split(), label) for text, label in training_sample(documents, labels, most)]
+    once: dict[bytes, bytes] = {}  # a word of the sample is one object
+    sample = [([once.setdefault(w, w) for w in text.translate(ALNUM).split()], label) for text, label in training_sample(documents, labels, most)]
     n_toxic = sum(y for _, y in sample)
     share = (n_toxic + 0.5) / (len(sample) + 1)
     prior = math.log(share / (1 - share))
