@@ -1,11 +1,11 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __lang string, shard int, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __lang string, __items string, __kept int, `a.b` double"
 PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def document(i, text, lang="en"):
-    return (i, text, lang, "s", None if text is None else len(text), "clash", 7, 0.5)
+    return (i, text, lang, "s", None if text is None else len(text), "clash", "clash", 7, 0.5)
 
 
 @pytest.fixture
@@ -22,3 +22,9 @@ def nothing(spark):
 
 def words(rng, n, vocabulary):
     return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+def unchanged(kept, source):
+    """Whether every kept row is one of the source's, in all columns."""
+    every = {tuple(r) for r in source.collect()}
+    return kept.columns == source.columns and all(tuple(r) in every for r in kept.collect())

@@ -4,10 +4,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import quality as q
 from tidelog.llm.queries import QUERIES
 
+from .conftest import unchanged
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -79,3 +82,6 @@ def test_awkward(spark, awkward, nothing):
     assert q.score(awkward, {}).count() == 9 and q.score(nothing, q.fit_references(nothing)).count() == 0
     kept = q.keep_good(awkward)
     assert kept.columns == awkward.columns and kept.count() == 0 and q.keep_good(nothing).count() == 0
+    varied = awkward.limit(1).withColumn("text", F.lit(" ".join(f"w{i}" for i in range(120))))
+    kept = q.keep_good(varied)
+    assert unchanged(kept, varied) and kept.count() == 1

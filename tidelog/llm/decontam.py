@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, rows, utf8
+from .common import ALNUM, fresh, map_whole, own, place, rows, utf8
 
 WINDOW = 10
+HIT_COLUMNS = ("__n_words", "__spans", "__items")
 #: Words of benchmark text searched for in one pass; a larger benchmark takes several.
 BLOCK_WORDS = 4_000_000
 
@@ -98,16 +99,17 @@ def _patterns(block: Iterable[tuple[int, bytes]], window: int) -> dict[tuple[byt
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``documents`` and ``__n_words``, ``__spans`` (merged hit words,
-    flat start and end), ``__items`` (ids of occurring items).
+    """All columns of ``documents`` and, last, the number of words, the spans (merged hit words,
+    flat start and end) and the ids of occurring items, under ``HIT_COLUMNS`` or names like them.
 
     A benchmark of any size is searched in blocks, each a map over the documents that
     carries on what the blocks before it found; there is no shuffle.  Null and empty
     texts have no words.  Items without words or id match nothing; equal items
-    all count; input columns may have any names but these three.
+    all count; input columns may have any names.
     """
-    out = documents.withColumns({"__n_words": F.lit(0).cast("long"), "__spans": F.lit(None).cast("array<long>"), "__items": F.lit(None).cast("array<long>")})
-    schema = out.schema
+    counts, spans_, items_ = (fresh(x, documents) for x in HIT_COLUMNS)
+    out = documents.withColumns({counts: F.lit(0).cast("long"), spans_: F.lit(None).cast("array<long>"), items_: F.lit(None).cast("array<long>")})
+    at = place(documents, "text")
     for block in _blocks(benchmark, block_words):
 
         def scan(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
@@ -116,8 +118,8 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             for batch in rows(batches):
                 names = batch.schema.names
                 n_words, spans, items = [], [], []
-                texts = batch.column(names.index("text")).cast(pa.binary()).to_pylist()
-                for text, old_spans, old_items in zip(texts, batch.column(names.index("__spans")).to_pylist(), batch.column(names.index("__items")).to_pylist()):
+                texts = batch.column(at).cast(pa.binary()).to_pylist()
+                for text, old_spans, old_items in zip(texts, batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1).to_pylist()):
                     words = (text or b"").translate(ALNUM).split()
                     n_words.append(len(words))
                     found = [(a, b) for a, b in zip((old_spans or [])[::2], (old_spans or [])[1::2])]
@@ -133,10 +135,10 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                             merged += [a, b]
                     spans.append(merged)
                     items.append(sorted(who, key=str))
-                new = {"__n_words": pa.array(n_words, pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int64())), "__items": pa.array(items, pa.list_(pa.int64()))}
-                yield pa.RecordBatch.from_arrays([new.get(x, batch.column(i)) for i, x in enumerate(names)], names=names)
+                new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *new], names=names)
 
-        out = out.mapInArrow(scan, schema)
+        out = map_whole(out, scan)
     return out
 
 
@@ -156,10 +158,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return hits.select("doc_id", "__n_words", "__spans", "__items").mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return hits.select("doc_id", *HIT_COLUMNS).mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no benchmark window occurs, columns as they came."""
     hits = find_hits(documents, benchmark, window)
-    return hits.where(F.size("__items") == 0).select(*documents.columns)
+    return hits.where(F.size(fresh(HIT_COLUMNS[2], documents)) == 0).select(*own(documents))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, materialise, rows, utf8
+from .common import ALNUM, fresh, materialise, own, rows
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -158,10 +158,10 @@ def signatures(documents: DataFrame, bands: int = BANDS, per_band: int = ROWS, s
             keys: list = []
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for cut in _chunks(texts):
-                own = texts[cut]
-                owner, element, weight = shingles(own, known, size)
-                found = band_keys(prob_minhash(owner, element, weight, len(own), bands * per_band), bands, per_band).view(np.int64)
-                has = np.bincount(owner, minlength=len(own)) > 0
+                few = texts[cut]
+                owner, element, weight = shingles(few, known, size)
+                found = band_keys(prob_minhash(owner, element, weight, len(few), bands * per_band), bands, per_band).view(np.int64)
+                has = np.bincount(owner, minlength=len(few)) > 0
                 keys += [k if h else k[:0] for k, h in zip(found, has)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
@@ -272,9 +272,9 @@ def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             packed: list[bytes] = []
             texts = batch.column(1).to_pylist()
             for cut in _chunks(texts):
-                own = texts[cut]
-                owner, element, weight = shingles(own, known, size)
-                bounds = np.searchsorted(owner, np.arange(len(own) + 1))
+                few = texts[cut]
+                owner, element, weight = shingles(few, known, size)
+                bounds = np.searchsorted(owner, np.arange(len(few) + 1))
                 packed += [element[a:b].view(np.int64).tobytes() + weight[a:b].astype(np.int64).tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
 
@@ -348,9 +348,10 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     Null texts all stay; equal rows of one id fall together.
     """
     node = F.unhex(F.md5(F.col("text").cast("binary")))
-    kept = classes(documents, **options).where("is_kept and node is not null").groupBy(F.col("doc_id").alias("__kept"), F.col("node").alias("__node")).agg(F.count("*").alias("__n"))
+    doc, text, times = (fresh(x, documents) for x in ("__kept", "__node", "__times"))
+    kept = classes(documents, **options).where("is_kept and node is not null").groupBy(F.col("doc_id").alias(doc), F.col("node").alias(text)).agg(F.count("*").alias(times))
     kept = materialise(kept)
-    found = documents.where("text is not null").join(kept, documents["doc_id"].eqNullSafe(kept["__kept"]) & (node == kept["__node"]))
-    once = found.where("__n = 1").select(*documents.columns)
-    again = found.where("__n > 1").dropDuplicates(["doc_id", "__node"]).select(*documents.columns)
-    return once.union(again).union(documents.where("text is null"))
+    found = documents.where("text is not null").join(kept, F.col("doc_id").eqNullSafe(F.col(doc)) & (node == F.col(text)))
+    once = found.where(F.col(times) == 1).select(*own(documents))
+    again = found.where(F.col(times) > 1).dropDuplicates(["doc_id", text]).select(*own(documents))
+    return once.union(again).union(documents.where("text is null").select(*own(documents)))

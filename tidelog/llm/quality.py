@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, rows, utf8
+from .common import LOWER, fresh, map_whole, own, place, rows, utf8
 
 #: A worker's word ids; beyond it they are dealt anew, between two documents.
 VOCABULARY = 300_000
@@ -238,13 +238,14 @@ def score(documents: DataFrame, references: dict, rules: Rules = Rules()) -> Dat
 def keep_good(documents: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with the columns and rows they came with."""
     references = fit_references(documents, rules)
-    code = documents.withColumn("__lang", language())
+    code = documents.withColumn(fresh("__lang", documents), language())
+    at = place(documents, "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(references, rules)
         for batch in rows(batches):
-            texts = batch.column(batch.schema.names.index("text")).cast(pa.binary()).to_pylist()
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
             langs = batch.column(batch.num_columns - 1).to_pylist()
             yield batch.filter(pa.array([judge(t or b"", x)[6] for t, x in zip(texts, langs)], pa.bool_()))
 
-    return code.mapInArrow(apply, code.schema).select(*documents.columns)
+    return map_whole(code, apply).select(*own(documents))

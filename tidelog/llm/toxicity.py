@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, rows, utf8
+from .common import ALNUM, map_whole, place, rows, utf8
 
 #: The training sample: at most so many labelled documents, none longer than so many characters.
 SAMPLE_ROWS = 6000
@@ -335,12 +335,13 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, columns as they came."""
+    at = place(documents, "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in rows(batches):
-            texts = batch.column(batch.schema.names.index("text")).cast(pa.binary()).to_pylist()
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
             keep = [scorer.probability(*scorer.document(t or b"")[:2]) < threshold for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(apply, documents.schema)
+    return map_whole(documents, apply)
