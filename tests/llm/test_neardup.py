@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -13,7 +14,7 @@ from .conftest import unchanged
 def weighted(text):
     words = (text or "").encode().translate(n.ALNUM).split()
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
-    return {g: grams.count(g) for g in set(grams)}
+    return {g: 1 + math.log2(grams.count(g)) for g in set(grams)}
 
 
 def brute_similarity(a, b):
@@ -26,8 +27,8 @@ def brute_similarity(a, b):
 
 
 def packed(text):
-    owner, element, weight = n.shingles([text.encode()], n.WordHashes())
-    return element.view(np.int64).tobytes() + weight.astype(np.int64).tobytes()
+    owner, element, count = n.shingles([text.encode()], n.WordHashes())
+    return element.view(np.int64).tobytes() + count.astype(np.int64).tobytes()
 
 
 def test_similarity_is_exact():
@@ -43,15 +44,15 @@ def test_registers_estimate_probability_jaccard():
     rng = random.Random(2)
     words = [f"w{rng.randrange(60)}" for _ in range(400)]
     a, b = " ".join(words), " ".join(words[:330] + [f"v{i}" for i in range(90)])
-    owner, element, weight = n.shingles([a.encode(), b.encode()], n.WordHashes())
-    signature = n.prob_minhash(owner, element, weight, 2, 4000)
+    owner, element, count = n.shingles([a.encode(), b.encode()], n.WordHashes())
+    signature = n.prob_minhash(owner, element, n.weigh(count), 2, 4000)
     assert (signature[0] == signature[1]).mean() == pytest.approx(n.similarity(packed(a), packed(b))[0], abs=0.03)
 
 
 def test_signature_does_not_depend_on_the_batch():
     texts = [b"one two three four five six", b"x", b"", b"one two three four five six"]
-    together = n.prob_minhash(*n.shingles(texts, n.WordHashes()), 4, 96)
-    alone = n.prob_minhash(*n.shingles(texts[:1], n.WordHashes()), 1, 96)
+    sign = lambda few: (lambda o, e, c: n.prob_minhash(o, e, n.weigh(c), len(few), 96))(*n.shingles(few, n.WordHashes()))
+    together, alone = sign(texts), sign(texts[:1])
     assert (together[0] == alone[0]).all() and (together[3] == alone[0]).all()
 
 
@@ -140,3 +141,11 @@ def test_awkward(spark, awkward, nothing):
     rows = [(None, "a b c d e f"), (9, "a b c d e f"), (3, "A b, c d e f"), (3, "p q r s t u")]
     got = n.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, "A b, c d e f"), (3, "p q r s t u")]
+
+
+def test_one_line_over_and_over_is_no_copy(spark):
+    rng = random.Random(8)
+    line = " again and again the same old line"
+    texts = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + line * 90) for i in range(12)]
+    got = {r["doc_id"]: r["class_id"] for r in n.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(12)}

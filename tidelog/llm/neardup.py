@@ -1,6 +1,7 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text is the weighted set of its five-word shingles, the weight being how often one occurs.
+A text is the weighted set of its five-word shingles.  One that occurs n times weighs 1 + log2 n: so a
+text that says one line over and over is not like every other text that does.
 Each shingle is a Poisson process whose rate is its weight: an arrival goes to a
 random register and wins it if it is the register's earliest.  Arrivals later than every register's
 winner can't matter, so a shingle stops there.  Two texts agree in a register
@@ -56,7 +57,7 @@ class WordHashes(dict):
 
 
 def shingles(texts: list[bytes], known: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, shingle, weight), ordered, each shingle of a text once.
+    """(text's number, shingle, how often), ordered, each shingle of a text once.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case
     (A-Z).  A text of fewer words, but not none, is one shingle.  Shingles are 48-bit hashes.
@@ -78,15 +79,20 @@ def shingles(texts: list[bytes], known: WordHashes, size: int = SHINGLE) -> tupl
         h = np.where(inside, mix(h + GOLDEN) ^ (step + np.uint64(k)), h)
     whole = (place + size <= end) | (place == start) & (end - start < size)
     code = (owner[whole].astype(np.uint64) << np.uint64(ELEMENT_BITS)) | (mix(h[whole]) >> np.uint64(64 - ELEMENT_BITS))
-    code, weight = np.unique(code, return_counts=True)
-    return (code >> np.uint64(ELEMENT_BITS)).astype(np.int64), code & np.uint64((1 << ELEMENT_BITS) - 1), weight
+    code, count = np.unique(code, return_counts=True)
+    return (code >> np.uint64(ELEMENT_BITS)).astype(np.int64), code & np.uint64((1 << ELEMENT_BITS) - 1), count
+
+
+def weigh(count: np.ndarray) -> np.ndarray:
+    """The weight of a shingle by how often it occurs."""
+    return 1 + np.log2(count)
 
 
 def prob_minhash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
     """n x registers: the shingle that wins each register (0 for texts without shingles)."""
     time = np.full(n * registers, np.inf)
     winner = np.zeros(n * registers, np.uint64)
-    at, e, w, x = owner, element, weight.astype(float), np.zeros(len(owner))
+    at, e, w, x = owner, element, weight, np.zeros(len(owner))
     last = np.full(n, np.inf)
     k = 0
     while len(at):
@@ -123,7 +129,8 @@ def similarity(a: bytes, b: bytes) -> tuple[float, float]:
     if not len(i):
         return 0.0, 0.0
     plain = len(i) / (x.shape[1] + y.shape[1] - len(i))
-    u, v = x[1, i].astype(float), y[1, j].astype(float)
+    all_u, all_v = weigh(x[1]), weigh(y[1])
+    u, v = all_u[i], all_v[j]
     ratio = u / v
     # Sum over all shingles of max(a_j / a_i, b_j / b_i): those with a greater ratio count by a, the others by b.
     order = np.argsort(ratio, kind="stable")
@@ -131,7 +138,7 @@ def similarity(a: bytes, b: bytes) -> tuple[float, float]:
     a_from = np.concatenate([np.cumsum(u[::-1])[::-1], [0.0]])
     b_to = np.concatenate([[0.0], np.cumsum(v)])
     cut = np.searchsorted(ratio, ratio, side="left")
-    only_a, only_b = x[1].sum() - u.sum(), y[1].sum() - v.sum()
+    only_a, only_b = all_u.sum() - u.sum(), all_v.sum() - v.sum()
     return float((1 / ((a_from[cut] + only_a) / u + (b_to[cut] + only_b) / v)).sum()), plain
 
 
@@ -159,8 +166,8 @@ def signatures(documents: DataFrame, bands: int = BANDS, per_band: int = ROWS, s
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             for cut in _chunks(texts):
                 few = texts[cut]
-                owner, element, weight = shingles(few, known, size)
-                found = band_keys(prob_minhash(owner, element, weight, len(few), bands * per_band), bands, per_band).view(np.int64)
+                owner, element, count = shingles(few, known, size)
+                found = band_keys(prob_minhash(owner, element, weigh(count), len(few), bands * per_band), bands, per_band).view(np.int64)
                 has = np.bincount(owner, minlength=len(few)) > 0
                 keys += [k if h else k[:0] for k, h in zip(found, has)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
@@ -195,7 +202,7 @@ def class_links(first: list[tuple[bytes, bytes, bytes]], second: list[tuple[byte
     names, roots = np.unique(np.array([r.hex() for _, r, _ in members]), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes.astype(int))
     _, column, count = np.unique(np.concatenate([x[0] for x in sets]), return_inverse=True, return_counts=True)
-    weight = np.concatenate([x[1] / max(1, x[1].sum()) for x in sets])
+    weight = np.concatenate([weigh(x[1]) / max(1, weigh(x[1]).sum()) for x in sets])
     shared = count > 1
     number = np.cumsum(shared) - 1
     at = shared[column]
@@ -264,7 +271,7 @@ def across(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``node, packed`` for the given texts (``node, doc``): shingles and weights as int64."""
+    """``node, packed`` for the given texts (``node, doc``): shingles and their counts as int64."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -273,9 +280,9 @@ def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for cut in _chunks(texts):
                 few = texts[cut]
-                owner, element, weight = shingles(few, known, size)
+                owner, element, count = shingles(few, known, size)
                 bounds = np.searchsorted(owner, np.arange(len(few) + 1))
-                packed += [element[a:b].view(np.int64).tobytes() + weight[a:b].astype(np.int64).tobytes() for a, b in zip(bounds, bounds[1:])]
+                packed += [element[a:b].view(np.int64).tobytes() + count[a:b].astype(np.int64).tobytes() for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "packed"])
 
     texts = documents.where("text is not null").select(F.col("doc_id").alias("__doc"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), F.col("text").cast("binary").alias("text"))
