@@ -341,9 +341,11 @@ def classes(documents: DataFrame, similar: float = SIMILAR, bands: int = BANDS,
         every = labelled.select("node", "root").distinct()
         state = materialise(every.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node"))
-    ids = nodes.join(state, "node").groupBy("root").agg(first.alias("keeper"))
+    # Written apart, so that rows of a large class can be split in the join; a lone text goes by its own name, not by null.
+    ids = materialise(nodes.join(state, "node").groupBy("root").agg(first.alias("keeper")))
     keeper = lambda x: F.when(F.col("keeper").isNotNull(), F.col(f"keeper.{x}")).otherwise(F.col("doc" if x == "doc" else "node"))
-    named = nodes.join(state, "node", "left").join(ids, "root", "left").select("node", keeper("doc").alias("class_id"), keeper("node").alias("keeper_node"))
+    rooted = nodes.join(state, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.join(ids, "root", "left").select("node", keeper("doc").alias("class_id"), keeper("node").alias("keeper_node"))
     out = signed.select("doc_id", "node").join(named, "node", "left")
     kept = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keeper_node")))
     return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("is_kept"), "node")
