@@ -107,6 +107,27 @@ def test_versioned_table(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v")) == ["v1", "v2"]
 
 
+def test_deltas_and_compaction(spark, tmp_path):
+    own = VersionedTable(spark, str(tmp_path / "t"), ("id",), compact_every=3)
+    write = lambda *rows: spark.createDataFrame(rows, "id long, name string, __deleted boolean")
+    rows = lambda: sorted(tuple(r) for r in own.read().collect())
+    assert own.append(write((1, "a", False), (2, "b", False)), 0) and not own.append(write((9, "z", False)), 0)
+    assert own.append(write((1, None, True), (2, "bb", False)), 1) and rows() == [(2, "bb")]
+    names = lambda: sorted(p.name for p in (tmp_path / "t").iterdir() if p.name[0] in "vd")
+    assert names() == ["d0", "d1"]
+    own.append(write((1, "again", False), (3, "c", False)), 5)
+    assert "v5" in names() and rows() == [(1, "again"), (2, "bb"), (3, "c")] and own.batch() == 5
+    own.append(write((3, None, True)), 6)
+    own.append(write((3, "new", False)), 7)
+    assert names() == ["d6", "d7", "v5"] and rows() == [(1, "again"), (2, "bb"), (3, "new")]
+    own.compact()
+    assert rows() == [(1, "again"), (2, "bb"), (3, "new")]
+    keyless = VersionedTable(spark, str(tmp_path / "k"))
+    for batch in range(3):
+        keyless.append(write((1, "a", False)), batch)
+    assert keyless.read().count() == 3 and keyless.schema().names == ["id", "name"]
+
+
 # --- streams --------------------------------------------------------------------------------------
 
 KIND = "id long, name string"
@@ -149,7 +170,7 @@ def test_crash_before_the_version_is_published(spark, tmp_path, monkeypatch):
         raise RuntimeError("crash")
 
     with monkeypatch.context() as m:
-        m.setattr(applier.state, "replace", fail)
+        m.setattr(applier.state, "append", fail)
         with pytest.raises(Exception, match="crash"):
             run(spark, tmp_path, applier)
     assert run(spark, tmp_path, TableApplier(spark, str(tmp_path / "state"), ("id",))) == [(1, "a")]

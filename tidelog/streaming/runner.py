@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.apply import merge_state
+from ..operators.apply import last_writes, merge_state, split_key_changes
 from ..operators.changelog import read_changes
 from ..operators.transform import apply_rule
 from ..plans import ddl
 from ..plans.evolve import Applied, Policy, Refused, evolve_state, plan_change, sink_outcome
 from ..plans.schema import Column, Table
 from ..plans.selector import Rule
-from .tables import VersionedTable
+from .tables import DELETED, VersionedTable
 
 log = logging.getLogger("tidelog")
 
@@ -83,7 +83,7 @@ class TableApplier:
     stats: Stats = field(default_factory=Stats)
 
     def __post_init__(self) -> None:
-        self.state = VersionedTable(self.spark, self.path)
+        self.state = VersionedTable(self.spark, self.path, self.keys)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """Apply one micro-batch; a batch that was applied before is passed over."""
@@ -93,6 +93,10 @@ class TableApplier:
             return
         batch = batch.persist()
         try:
+            if batch.where("op = 'ddl'").isEmpty() and self._append(batch, batch_id):
+                self.stats.add(batch.count())
+                log.info("batch %s: %s", batch_id, self.stats.report())
+                return
             current = self.state.read()
             for rows, statement in segments(batch):
                 out = apply_rule(rows, self.rule)
@@ -110,6 +114,18 @@ class TableApplier:
         finally:
             batch.unpersist()
 
+    def _append(self, batch: DataFrame, batch_id: int) -> bool:
+        """A batch without schema changes becomes a delta; False where its columns aren't the table's."""
+        out = apply_rule(batch, self.rule)
+        if self.keys:
+            last = last_writes(split_key_changes(out.select("op", "before", "after", "seq"), self.keys), self.keys).select("row.*", F.col("deleted").alias(DELETED))
+        else:
+            last = out.where("op in ('r', 'c', 'u')").select("after.*", F.lit(False).alias(DELETED))
+        known = self.state.schema()
+        if known is not None and [(f.name, f.dataType) for f in known] != [(f.name, f.dataType) for f in last.schema if f.name != DELETED]:
+            return False
+        return self.state.append(last, batch_id)
+
     def _change(self, current: DataFrame, statement: str) -> DataFrame:
         change = ddl.classify(statement)
         outcome = sink_outcome(change, self.policy, self.rule.columns if self.rule else ())

@@ -1,8 +1,11 @@
-"""Versioned tables: each version a folder of Parquet, and a pointer that names the current one.
+"""Versioned tables: a base and deltas of Parquet, and a pointer that names the current ones.
 
 All files go through Spark's file system layer, so a table can lie in any store that
-Spark writes.  A version is named by its batch: a batch that is replayed after a failure writes the same version
-again, and one that is known as applied is passed over.
+Spark writes.  What a batch writes is named by the batch: a batch that is replayed after a failure writes the
+same again, and one that is known as applied is passed over.
+
+A micro-batch adds only its last writes, as a delta; the base is rewritten once in ``compact_every`` batches, so the cost of
+a batch goes by the batch and not by the table.  A reader merges: the latest delta row of a key wins over the base.
 """
 
 from __future__ import annotations
@@ -10,38 +13,76 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DELETED, BATCH = "__deleted", "__batch"
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = (), keep: int = 2, compact_every: int = 16):
+        self.spark, self.path, self.keys, self.keep, self.compact_every = spark, path.rstrip("/"), keys, keep, compact_every
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path, self._io = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.path}/{folder}")
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
     def _pointers(self) -> list[int]:
-        folder = self._path(f"{self.path}/_current")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(folder) if f.getPath().getName().isdigit())
+        return sorted(int(n) for n in self._names("_current") if n.isdigit())
 
     def batch(self) -> int | None:
-        """The last batch whose version is current."""
+        """The last batch that is part of the table."""
         found = self._pointers()
         return found[-1] if found else None
 
+    def _pointer(self, batch: int) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/_current/{batch}"))
+        try:
+            return json.loads(self._io.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def schema(self) -> T.StructType | None:
+        at = self.batch()
+        return None if at is None else T.StructType.fromJson(self._pointer(at)["schema"])
+
     def read(self) -> DataFrame | None:
+        """The table as of the last batch; None before the first."""
         at = self.batch()
         if at is None:
             return None
-        schema = self._fs.open(self._path(f"{self.path}/_current/{at}"))
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(schema, "UTF-8")
-        finally:
-            schema.close()
-        from pyspark.sql.types import StructType
+        pointer = self._pointer(at)
+        schema = T.StructType.fromJson(pointer["schema"])
+        base = self.spark.createDataFrame([], schema) if pointer["base"] is None else self.spark.read.schema(schema).parquet(f"{self.path}/v{pointer['base']}")
+        if not pointer["deltas"]:
+            return base
+        stored = T.StructType([*schema.fields, T.StructField(DELETED, T.BooleanType()), T.StructField(BATCH, T.LongType())])
+        deltas = self.spark.read.schema(stored).parquet(*(f"{self.path}/d{d}" for d in pointer["deltas"]))
+        if not self.keys:
+            return base.unionByName(deltas.select(*schema.names))
+        last = deltas.groupBy(*self.keys).agg(F.max_by(F.struct(*stored.names), BATCH).alias("w")).select("w.*")
+        kept = base.join(last.select(*self.keys), list(self.keys), "left_anti")
+        return kept.select(*schema.names).unionByName(last.where(~F.col(DELETED)).select(*schema.names))
 
-        return self.spark.read.schema(StructType.fromJson(json.loads(text))).parquet(f"{self.path}/v{at}")
+    def append(self, writes: DataFrame, batch: int) -> bool:
+        """Add the last writes of a batch: the table's columns and ``__deleted``, one row a key.
+
+        False if the batch was applied before.  A row's columns must be the table's.
+        """
+        current = self.batch()
+        if current is not None and batch <= current:
+            return False
+        columns = [f for f in writes.schema.fields if f.name != DELETED]
+        pointer = {"base": None, "deltas": []} if current is None else self._pointer(current)
+        writes.withColumn(BATCH, F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/d{batch}")
+        pointer |= {"schema": T.StructType([T.StructField(f.name, f.dataType) for f in columns]).jsonValue(), "deltas": [*pointer["deltas"], batch]}
+        self._publish(pointer, batch)
+        if len(pointer["deltas"]) >= self.compact_every:
+            self.compact()
+        return True
 
     def replace(self, rows: DataFrame, batch: int) -> bool:
         """Make ``rows`` the table as of ``batch``; False if the batch was applied before."""
@@ -49,17 +90,41 @@ class VersionedTable:
         if current is not None and batch <= current:
             return False
         rows.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
-        # The pointer is written aside and renamed: it is there in full or not at all.
-        aside = self._path(f"{self.path}/_aside/{batch}")
+        self._publish({"base": batch, "deltas": [], "schema": rows.schema.jsonValue()}, batch)
+        return True
+
+    def compact(self) -> None:
+        """Write base and deltas as one base, under the batch that the table has."""
+        at = self.batch()
+        if at is None or not self._pointer(at)["deltas"]:
+            return
+        rows = self.read()
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{at}")
+        self._publish({"base": at, "deltas": [], "schema": rows.schema.jsonValue()}, at)
+
+    def _publish(self, pointer: dict, batch: int) -> None:
+        """The pointer is written aside and renamed: it is there in full or not at all."""
+        aside, there = self._path(f"{self.path}/_aside/{batch}"), self._path(f"{self.path}/_current/{batch}")
         out = self._fs.create(aside, True)
         try:
-            out.write(bytearray(rows.schema.json().encode()))
+            out.write(bytearray(json.dumps(pointer).encode()))
         finally:
             out.close()
         self._fs.mkdirs(self._path(f"{self.path}/_current"))
-        if not self._fs.rename(aside, self._path(f"{self.path}/_current/{batch}")):
-            raise RuntimeError(f"version {batch} of {self.path} could not be published")
+        if self._fs.exists(there):  # after a compaction: the same rows under the same batch
+            self._fs.delete(there, False)
+        if not self._fs.rename(aside, there):
+            raise RuntimeError(f"batch {batch} of {self.path} could not be published")
+        self._clean()
+
+    def _clean(self) -> None:
+        """Remove what none of the last pointers names."""
+        kept = self._pointers()[-self.keep :]
         for old in self._pointers()[: -self.keep]:
             self._fs.delete(self._path(f"{self.path}/_current/{old}"), False)
-            self._fs.delete(self._path(f"{self.path}/v{old}"), True)
-        return True
+        used = {"_current", "_aside"}
+        for p in map(self._pointer, kept):
+            used |= {f"v{p['base']}", *(f"d{d}" for d in p["deltas"])}
+        for name in self._names(""):
+            if name not in used and name[:1] in "vd" and name[1:].isdigit() and int(name[1:]) <= kept[-1]:
+                self._fs.delete(self._path(f"{self.path}/{name}"), True)
