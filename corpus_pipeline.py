@@ -2,6 +2,12 @@
 
 ``STAGES`` lists (name, function) pairs; each function takes ``(spark, docs, sf_dir)`` and returns
 a DataFrame, which is written as Parquet and read again as the next one's documents.
+
+Rows out of the ordinary have these results: quality rules drop null, empty and wordless texts, as they are too
+short; given any, toxicity scores them like a text without toxic words, near-duplicates keep every null text and one of
+equal others, decontamination keeps them, and packing makes them the one token that ends a document. Null languages are
+held against the nearest reference. Repeated rows fall together among near-duplicates and are kept each elsewhere.
+Empty tables give empty results. Columns come out as they came in, whatever their names.
 """
 
 from __future__ import annotations

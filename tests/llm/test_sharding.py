@@ -47,7 +47,7 @@ def test_order_is_the_same_whatever_the_tasks(spark):
     texts = [(i, f"t{i % 300}") for i in range(900)]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     key = lambda rows: sorted((r["doc_id"], r["shard"], r["slot"]) for r in rows)
-    coarse, fine = s.shard(frame).collect(), s.shard(frame.repartition(7), task_rows=10).collect()
+    coarse, fine = s.shard(frame).collect(), s.shard(frame.repartition(7)).collect()
     assert key(coarse) == key(fine)
 
 

@@ -16,6 +16,9 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: ``bytes.split`` then yields the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 ALNUM = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in LOWER)
 
+#: Folders that ``materialise`` has written.
+WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -38,10 +41,20 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> int:
+    """Remove what ``materialise`` has written in this process; results that read it must be done.  Returns the number of folders."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def utf8(column: str = "text") -> F.Column:
     """The text's UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

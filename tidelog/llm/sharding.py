@@ -20,8 +20,10 @@ from .common import materialise
 SHARDS = 8
 #: Allowed distance of a boundary from its target, in parts of a shard.
 TOLERANCE = 0.002
-#: Rows that one task of the exchange is meant to order.
+#: Rows that one task of the exchange is meant to order, and the most ranges that a shard is dealt into.
+#: With these, ranges inside a shard end at edges of the first probes, and only shards' own boundaries (and large groups) are refined.
 TASK_ROWS = 1_000_000
+MOST_RANGES = 128
 BITS, PER_KEY, KEYS = 12, 6, 3
 SIGN = 1 << 63
 
@@ -64,10 +66,11 @@ def _count(keys: DataFrame, level: int, open_at: set[tuple[int, int, int]]) -> d
     return out
 
 
-def find_splitters(keys: DataFrame, targets: list[int], slack: float) -> list[tuple[tuple[int, int, int], int, int]]:
+def find_splitters(keys: DataFrame, targets: list[int], slack: list[float]) -> list[tuple[tuple[int, int, int], int, int]]:
     """(boundary key, bytes below, rows below) for each target number of bytes.
 
-    ``keys`` has ``k0, k1, k2, size``; a row is below a boundary if its key is less.
+    ``keys`` has ``k0, k1, k2, size``; a row is below a boundary if its key is less.  ``slack``
+    is how far from its target each boundary may lie.
     """
     found: dict[int, tuple] = {}
     state = {i: (0, (0, 0, 0), 0, 0) for i in range(len(targets))}  # level, place, bytes and rows before it
@@ -83,10 +86,10 @@ def find_splitters(keys: DataFrame, targets: list[int], slack: float) -> list[tu
             for prefix, (more, n, least, most) in sorted(histogram.get(place, {}).items()):
                 edge = [f0, f1, 0][:key] + [(prefix << _shift(level)) - SIGN]
                 edge = tuple(edge + [-SIGN] * (KEYS - len(edge)))
-                if abs(targets[i] - size) <= slack or targets[i] <= size:
+                if abs(targets[i] - size) <= slack[i] or targets[i] <= size:
                     found[i] = (edge, size, count)
                     break
-                if targets[i] < size + more and size + more - targets[i] > slack:
+                if targets[i] < size + more and size + more - targets[i] > slack[i]:
                     if level == last or (key == KEYS - 1 and least == most):
                         found[i] = (edge, size, count)
                     elif least == most:
@@ -127,13 +130,15 @@ def shard(documents: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
         )
     )
     total, n_rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    parts = shards * max(8, math.ceil(n_rows / (shards * task_rows)))
+    ranges = min(MOST_RANGES, max(8, math.ceil(n_rows / (shards * task_rows))))
+    parts = shards * ranges
     targets = [total * i // parts for i in range(1, parts)]
-    splitters = find_splitters(keys, targets, tolerance * total / shards / 2) if n_rows else []
+    slack = [tolerance * total / shards / 2 if i % ranges == 0 else total / parts / 4 for i in range(1, parts)]
+    splitters = find_splitters(keys, targets, slack) if n_rows else []
     edges = sorted({s[0]: s for s in splitters}.values())
     # The part of a row: the edges at or below its key.  Looked up by the first twelve bits.
     first_row = [0, *(s[2] for s in edges)]
-    cuts = {i // (parts // shards): splitters[i - 1] for i in range(parts // shards, parts, parts // shards)} if splitters else {}
+    cuts = {i // ranges: splitters[i - 1] for i in range(ranges, parts, ranges)} if splitters else {}
     shard_edges = [cuts[i][0] for i in sorted(cuts)]
     table, per = [], {}
     for e, _, _ in edges:
