@@ -28,9 +28,10 @@ def last_writes(writes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The last write of each key: one aggregation, combined before the shuffle.
 
     So a key with very many changes sends one row per task, and no key's changes are ever sorted.
+    Sequence numbers lie below 2^62.
     """
     by = [F.col(f"row.`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
-    return writes.groupBy(*by).agg(F.max_by(F.struct("row", "deleted"), F.struct("seq", "sub_seq")).alias("w")).select("w.row", "w.deleted")
+    return writes.groupBy(*by).agg(F.max_by(F.struct("row", "deleted"), F.col("seq") * 2 + F.col("sub_seq")).alias("w")).select("w.row", "w.deleted")
 
 
 def null_keys(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:

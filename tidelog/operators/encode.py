@@ -154,7 +154,7 @@ def elastic_operations(log: DataFrame, table: Table, index: str, zone: str = "UT
 
 def last_operations(operations: DataFrame) -> DataFrame:
     """One operation per index and id, so a bulk request never names a document twice."""
-    best = F.max_by(F.struct("action", "document"), F.struct("seq", "sub_seq")).alias("o")
+    best = F.max_by(F.struct("action", "document"), F.col("seq") * 2 + F.col("sub_seq")).alias("o")
     return operations.groupBy("index", "id").agg(best).select("index", "id", "o.*")
 
 
