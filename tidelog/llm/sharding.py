@@ -46,6 +46,10 @@ def _prefix(level: int) -> F.Column:
     return F.shiftrightunsigned(_unsigned(level // PER_KEY), _shift(level))
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= SIGN else x
+
+
 def _count(keys: DataFrame, level: int, open_at: set[tuple[int, int, int]]) -> dict:
     """(fixed key 0, fixed key 1, prefix above) -> {prefix: (bytes, rows, least, greatest of the level's key)}.
 
@@ -66,49 +70,62 @@ def _count(keys: DataFrame, level: int, open_at: set[tuple[int, int, int]]) -> d
     return out
 
 
-def find_splitters(keys: DataFrame, targets: list[int], slack: list[float]) -> list[tuple[tuple[int, int, int], int, int]]:
+Key = tuple[int, ...]
+
+
+def _padded(head: list[int]) -> Key:
+    """The least key that starts so."""
+    return tuple(head + [-SIGN] * (KEYS - len(head)))
+
+
+def _lower(place: Key, level: int, prefix: int) -> Key:
+    """The least key under a prefix of a place."""
+    return _padded([*place[: level // PER_KEY], (prefix << _shift(level)) - SIGN])
+
+
+def _upper(place: Key, level: int) -> Key:
+    """The least key above a whole place: behind its prefix, or else behind the key that is fixed last."""
+    head = list(place[: level // PER_KEY])
+    if level % PER_KEY and (bound := ((place[-1] + 1) << _shift(level - 1)) - SIGN) < SIGN:
+        return _padded([*head, bound])
+    while head:
+        if (last := head.pop()) < SIGN - 1:
+            return _padded([*head, last + 1])
+    return (SIGN - 1,) * KEYS
+
+
+def find_splitters(keys: DataFrame, targets: list[int], slack: list[float]) -> list[tuple[Key, int, int]]:
     """(boundary key, bytes below, rows below) for each target number of bytes.
 
     ``keys`` has ``k0, k1, k2, size``; a row is below a boundary if its key is less.  ``slack``
-    is how far from its target each boundary may lie.
+    is how far from its target each boundary may lie.  A place is two fixed keys (0 where not yet fixed)
+    and the prefix of the next; a splitter in it knows the bytes and rows before the place.
     """
-    found: dict[int, tuple] = {}
-    state = {i: (0, (0, 0, 0), 0, 0) for i in range(len(targets))}  # level, place, bytes and rows before it
+    found: dict[int, tuple[Key, int, int]] = {}
+    state = {i: (0, (0, 0, 0), 0, 0) for i in range(len(targets))}
     while state:
         level = min(s[0] for s in state.values())
         here = {i: s for i, s in state.items() if s[0] == level}
-        signed = lambda x: x - (1 << 64) if x >= SIGN else x
-        histogram = _count(keys, level, {(p[0], p[1], signed(p[2])) for _, p, _, _ in here.values()})
         key, last = level // PER_KEY, KEYS * PER_KEY - 1
-        for i, (_, place, size, count) in here.items():
-            f0, f1, above = place
-            # A splitter lies at the lower edge of a prefix, or in it.
-            for prefix, (more, n, least, most) in sorted(histogram.get(place, {}).items()):
-                edge = [f0, f1, 0][:key] + [(prefix << _shift(level)) - SIGN]
-                edge = tuple(edge + [-SIGN] * (KEYS - len(edge)))
-                if abs(targets[i] - size) <= slack[i] or targets[i] <= size:
-                    found[i] = (edge, size, count)
+        histogram = _count(keys, level, {(p[0], p[1], _signed(p[2])) for _, p, _, _ in here.values()})
+        for i, (_, place, size, rows) in here.items():
+            for prefix, (more, n, least, most) in sorted(histogram[place].items()):
+                if targets[i] <= size + slack[i]:
+                    found[i] = (_lower(place, level, prefix), size, rows)
                     break
-                if targets[i] < size + more and size + more - targets[i] > slack[i]:
+                if targets[i] + slack[i] < size + more:  # inside this prefix
                     if level == last or (key == KEYS - 1 and least == most):
-                        found[i] = (edge, size, count)
-                    elif least == most:
-                        fixed = [f0, f1]
-                        fixed[key] = least
-                        state[i] = ((key + 1) * PER_KEY, (fixed[0], fixed[1] if key else 0, 0), size, count)
-                    elif level % PER_KEY == PER_KEY - 1:
-                        raise AssertionError("a full prefix has one key")
+                        found[i] = (_lower(place, level, prefix), size, rows)  # equal keys can't be cut
+                        break
+                    if least == most:  # one key holds it all: on to the next
+                        fixed = [*place[:key], least, 0][: KEYS - 1]
+                        state[i] = ((key + 1) * PER_KEY, (*fixed, *[0] * (KEYS - 1 - len(fixed)), 0), size, rows)
                     else:
-                        state[i] = (level + 1, (f0, f1, prefix), size, count)
+                        state[i] = (level + 1, (*place[:-1], prefix), size, rows)
                     break
-                size, count = size + more, count + n
+                size, rows = size + more, rows + n
             else:
-                found[i] = (None, size, count)  # the upper edge of the place
-                bound = ((above + 1) << _shift(level - 1)) - SIGN if level % PER_KEY else None
-                edge = [f0, f1, 0][:key] + [bound] if bound is not None and bound < SIGN else None
-                if edge is None:
-                    edge = [SIGN - 1] * KEYS if key == 0 else [f0, f1][: key - 1] + [[f0, f1][key - 1] + 1] if [f0, f1][key - 1] < SIGN - 1 else [SIGN - 1] * KEYS
-                found[i] = (tuple(edge + [-SIGN] * (KEYS - len(edge))), size, count)
+                found[i] = (_upper(place, level), size, rows)
         state = {i: s for i, s in state.items() if i not in found}
     return [found[i] for i in range(len(targets))]
 
