@@ -187,6 +187,13 @@ def test_typed_documents(spark):
     assert got == {"id": 18446744073709551615, "at": "2024-03-15 05:45:30.500000", "kind": "b", "flags": "x,y", "j": {"k": [1, 2.5]}, "b": "3q0=", "y": "0099", "t": "-1:02:03.500000"}
 
 
+def test_negative_unsigned_key(spark):
+    log = log_of(spark, ("c", None, (-1, "x", None, None)))
+    own = Table("db", "t", (Column("id", "bigint unsigned", False),), ("id",))
+    with pytest.raises(Exception, match="negative: -1"):
+        log.select(encode.document_id(own, "after", log.schema["after"].dataType)).collect()
+
+
 def test_json_lines(spark):
     log = log_of(spark, ("c", None, A))
     assert json.loads(encode.json_lines(log, ("name", "id", "amount")).first()["value"]) == {"name": "alice", "id": 1, "amount": None}

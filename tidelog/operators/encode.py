@@ -91,10 +91,21 @@ def kafka_records(log: DataFrame, keys: tuple[str, ...], default_topic: str, ts_
 # --- Elasticsearch ------------------------------------------------------------------------
 
 
+INTEGER_TYPES = ("tinyint", "smallint", "mediumint", "int", "integer", "bigint", "bool", "boolean")
+
+
 def canonical_value(value: Column, mysql_type: str, kind: T.DataType) -> Column:
     """The value's canonical text by its source type; what ids and documents are made of."""
     t = parse_type(mysql_type)
     number = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    # Typed values need no parsing.
+    if isinstance(kind, T.DateType):
+        return value.cast("string")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if t.base in INTEGER_TYPES and (number or (isinstance(kind, T.DecimalType) and kind.scale == 0)):
+        text = value.cast("string")
+        return F.when(value < 0, F.raise_error(F.concat(F.lit("negative: "), text)).cast("string")).otherwise(text) if t.unsigned else text
     forms: dict[str, Callable[[], Column]] = {
         "date": lambda: canonical.date(value), "datetime": lambda: canonical.datetime(value), "timestamp": lambda: canonical.datetime(value),
         "time": lambda: canonical.time(value), "year": lambda: canonical.year(value), "json": lambda: canonical.json(value),
@@ -105,7 +116,7 @@ def canonical_value(value: Column, mysql_type: str, kind: T.DataType) -> Column:
         return forms[t.base]()
     if t.base in ("decimal", "numeric", "dec", "fixed"):
         return canonical.decimal(value, t.args[1] if len(t.args) > 1 else 0)
-    if t.base in ("tinyint", "smallint", "mediumint", "int", "integer", "bigint", "bool", "boolean"):
+    if t.base in INTEGER_TYPES:
         return canonical.unsigned(value) if t.unsigned else canonical.integer(value)
     if isinstance(kind, T.BinaryType):
         return canonical.binary(value)
