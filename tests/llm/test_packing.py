@@ -95,7 +95,7 @@ def check_places(rows):
 
 def test_pieces_and_places(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    texts += [(-1, "Don't WE'LL <|endoftext|> x<|ENDOFTEXT|>y áé, É. 12,3.5 foo_bar's 'tis —. \t\x1c\x85z"), (-2, ""), (-3, "a,b  c\n\nd")]
+    texts += [(-1, "Don't WE'LL <|endoftext|> x<|ENDOFTEXT|>y áé, É. 12,3.5 foo_bar's 'tis —. \t\x1c\x85z"), (-2, ""), (-4, "Plain UPPER Words <|x with a special look ABC"), (-3, "a,b  c\n\nd")]
     out = p.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
     got = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out), key=repr)
     assert got == expected_pieces(texts)

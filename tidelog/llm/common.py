@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +76,19 @@ def own(df: DataFrame) -> list[F.Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once by a Python worker and kept for its later tasks.
+
+    A worker keeps one such thing only, the last, so memory doesn't add up over operators.  It is kept in a module
+    of its own, as functions that are shipped by value bring new globals to each task.
+    """
+    store = sys.modules.setdefault("_tidelog_worker", types.ModuleType("_tidelog_worker")).__dict__
+    if store.get("key") != key:
+        store.pop("value", None)
+        store["value"], store["key"] = make(), key
+    return store["value"]
+
+
 def place(df: DataFrame, name: str) -> int:
     """Where a column stands; names don't tell upper from lower case."""
     return [c.lower() for c in df.columns].index(name)

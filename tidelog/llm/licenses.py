@@ -11,12 +11,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ALNUM, LOWER, rows, utf8
+from .common import ALNUM, LOWER, per_worker, rows, utf8
 
 PHRASES = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl"))
 TRIGGERS = (b"licen", b"creative", b"cc0", b"cc by", b"cc-by", b"gpl", b"gfdl", b"public domain", b"rights reserved", b"warrant", b"redistribut", b"apache.org")
@@ -158,7 +157,6 @@ def signature_rules() -> list[Rule]:
     return sorted(out, key=lambda r: r.priority)
 
 
-@lru_cache(maxsize=1)
 def _compiled() -> tuple[list[bytes], dict[bytes, list[tuple[int, Rule, re.Pattern]]]]:
     by_keyword: dict = {}
     for i, rule in enumerate(signature_rules()):
@@ -170,7 +168,7 @@ def detect(lower: bytes) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) in bytes of a lower-cased text, without suppressed ones."""
     if not any(t in lower for t in TRIGGERS):
         return []
-    keywords, by_keyword = _compiled()
+    keywords, by_keyword = per_worker("licenses", _compiled)
     found = []
     for k in keywords:
         if k in lower:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, fresh, materialise, own, rows
+from .common import ALNUM, fresh, materialise, own, per_worker, rows
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -160,7 +160,7 @@ def signatures(documents: DataFrame, bands: int = BANDS, per_band: int = ROWS, s
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = per_worker("words", WordHashes)
         for batch in rows(batches, 4096):
             keys: list = []
             texts = [t or b"" for t in batch.column(2).to_pylist()]
@@ -274,7 +274,7 @@ def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """``node, packed`` for the given texts (``node, doc``): shingles and their counts as int64."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = per_worker("words", WordHashes)
         for batch in rows(batches, 4096):
             packed: list[bytes] = []
             texts = batch.column(1).to_pylist()

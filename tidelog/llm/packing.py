@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, rows, utf8
+from .common import materialise, per_worker, rows, utf8
 
 CAPACITY = 4096
 #: Rounds of multiplicative weights, and lengths that a pricing round looks at.
@@ -166,6 +166,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Ids(dict):
+    """Packed token ids of a chunk of text, made once a chunk."""
+
+    def __init__(self, tokenizer: str):
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are packed as little-endian")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.coder = Tokenizer.from_file(tokenizer)
+        self.model = self.coder.model
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        body = chunk.rstrip(TAIL)
+        if not chunk:
+            packed = b""
+        elif chunk.isalpha() and chunk.islower():  # one pre-token of letters that stand for themselves
+            packed = array("I", [t.id for t in self.model.tokenize(chunk.decode())]).tobytes()
+        elif len(body) < len(chunk) and body[-1:].isalnum() and b"<|" not in chunk:
+            packed = self[body] + self[chunk[len(body) :]]
+        else:
+            packed = array("I", self.coder.encode(chunk.decode("utf-8"), add_special_tokens=False).ids).tobytes()
+        self[chunk] = packed
+        return packed
+
+
 def cut_pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Rows ``doc_id, piece, start, length, ids_crc32, __task, __rank``.
 
@@ -174,27 +201,8 @@ def cut_pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if sys.byteorder != "little":
-            raise RuntimeError("ids are packed as little-endian")
-        coder = Tokenizer.from_file(tokenizer)
-
-        class Known(dict):
-            def __missing__(self, chunk: bytes) -> bytes:
-                body = chunk.rstrip(TAIL)
-                if chunk.isalpha():  # one pre-token of letters that stand for themselves
-                    packed = array("I", [t.id for t in coder.model.tokenize(chunk.decode())]).tobytes()
-                elif len(body) < len(chunk) and body[-1:].isalnum() and b"<|" not in chunk:
-                    packed = self[body] + self[chunk[len(body) :]]
-                else:
-                    packed = array("I", coder.encode(chunk.decode("utf-8"), add_special_tokens=False).ids).tobytes()
-                self[chunk] = packed
-                return packed
-
-        known, ranks, task = Known(), {}, TaskContext.get().partitionId()
-        known[b""] = b""
+        known = per_worker(("packing", tokenizer), lambda: Ids(tokenizer))
+        ranks, task = {}, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in rows(batches):
@@ -215,7 +223,6 @@ def cut_pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity:
                     ranks[n] = rank[-1] + 1
                 if len(known) > REMEMBERED:
                     known.clear()
-                    known[b""] = b""
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(doc), pa.int64()), pa.array(rank, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "__task", "__rank"],

@@ -15,7 +15,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import rows, utf8
+from .common import per_worker, rows, utf8
 
 #: Words whose counts a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 300_000
@@ -84,6 +84,19 @@ def count_pieces(automaton: dict, word: bytes) -> int | None:
     return n
 
 
+class Counts(dict):
+    """Pieces of a word behind a space, -1 where it has no segmentation; made once a word."""
+
+    def __init__(self, automaton: dict):
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: bytes) -> int:
+        n = count_pieces(self.automaton, b" " + word)
+        self[word] = n = -1 if n is None else n
+        return n
+
+
 def piece_vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     """Opening and inner pieces of a byte-level vocabulary file.
 
@@ -108,15 +121,8 @@ def count_tokens(documents: DataFrame, vocabulary: tuple[list[bytes], list[bytes
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(*vocabulary)
-
-        class Known(dict):
-            def __missing__(self, word: bytes) -> int:
-                n = count_pieces(automaton, b" " + word)
-                self[word] = n = -1 if n is None else n
-                return n
-
-        known = Known()
+        initial, inner = vocabulary
+        known = per_worker(("tokens", hash((tuple(initial), tuple(inner)))), lambda: Counts(build_automaton(initial, inner)))
         for batch in rows(batches):
             n_words, n_tokens, n_unknown = [], [], []
             for text in batch.column(1).to_pylist():
