@@ -130,22 +130,22 @@ def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tu
             for k, total in chars.items():
                 lang += [k] * (len(CLASSES) + 1)
                 word += [b" %d" % i for i in range(len(CLASSES) + 1)]
-                n += [*total.tolist(), int(sums[k].sum())]
+                n += [*(total @ to_class).tolist(), int(sums[k].sum())]
             ids.clear(), sums.clear(), chars.clear()
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
         for batch in rows(batches):
+            spoken: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = text.translate(LOWER).split()
+                spoken.setdefault(lang, []).extend(text.translate(LOWER).split())
+                chars[lang] = chars.get(lang, 0) + np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+            for lang, words in spoken.items():
                 found = np.bincount(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), minlength=1)
-                total = sums.get(lang)
-                if total is None or len(total) < len(found):
-                    grown = np.zeros(max(len(found), 2 * (0 if total is None else len(total))), np.int64)
-                    grown[: 0 if total is None else len(total)] = 0 if total is None else total
-                    sums[lang] = total = grown
-                total[: len(found)] += found if words else 0
-                classes = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ to_class
-                chars[lang] = chars.get(lang, 0) + classes
+                total = sums.get(lang, found[:0])
+                if len(total) < len(found):
+                    total = np.concatenate([total, np.zeros(max(len(found), 2 * len(total)) - len(total), np.int64)])
+                total[: len(found)] += found
+                sums[lang] = total
             if len(ids) > VOCABULARY:
                 yield flush()
         yield flush()
