@@ -8,6 +8,7 @@ counts over all documents; a text that is too short for a histogram is not judge
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -178,8 +179,7 @@ def _judge(references: dict, rules: Rules):
     lead = np.array([not 0x80 <= b < 0xC0 for b in range(256)])
     ready = {}
     for lang, (classes, words, total) in references.items():
-        order = list(words)
-        ready[lang] = (np.array(classes), {w: i + 1 for i, w in enumerate(order)}, np.array([max(0.0, total - sum(words.values())), *words.values()]))
+        ready[lang] = (np.array(classes), list(words), np.array([max(0.0, total - sum(words.values())), *words.values()]))
     every = list(ready)
 
     def judge(text: bytes, lang: str) -> tuple:
@@ -199,12 +199,11 @@ def _judge(references: dict, rules: Rules):
         if n_chars >= rules.min_chars and names:
             class_distance = min(js_distance(classes.astype(float), ready[x][0]) for x in names)
         if n >= rules.min_common and names:
-            lower = text.translate(LOWER).split()
+            said = Counter(text.translate(LOWER).split())
             word_distance = 1.0
             for x in names:
-                index, reference = ready[x][1], ready[x][2]
-                found = np.bincount(np.fromiter((index.get(w, 0) for w in lower), np.int64, n), minlength=len(reference))
-                word_distance = min(word_distance, js_distance(found.astype(float), reference))
+                common = [said[w] for w in ready[x][1]]
+                word_distance = min(word_distance, js_distance(np.array([n - sum(common), *common], float), ready[x][2]))
         far = (class_distance is not None and class_distance > rules.max_class_distance) or (word_distance is not None and word_distance > rules.max_word_distance)
         return n, int(at[lead & ~space].sum()), int(at[symbol].sum()), len(lines) - len(set(lines)), n_repeat, failed, not failed and not far, class_distance, word_distance
 
