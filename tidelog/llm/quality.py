@@ -109,8 +109,9 @@ def repeated_words(ids: np.ndarray) -> int:
 
 
 def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[float], dict[bytes, float], float]]:
-    """For each language: class counts, counts of its most common words (those with a letter), all its words.
+    """For each language: class counts, counts of its most common words, all its words.
 
+    A mark that stands alone often enough is a word too: texts that are full of it then stand out.
     Counts cover every whole text.  Each task counts by itself, in one pass (class and word totals
     go along as words with a space, which no text has); only its sums are exchanged, and the most common words are chosen in two steps, so that the words of
     one large language are never ordered in one task.  What reaches the driver is at
@@ -155,8 +156,7 @@ def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tu
     counts = counts.withColumns({"kind": F.when(F.substring("word", 1, 1) == F.lit(b" "), 1).otherwise(0), "salt": F.pmod(F.hash("word"), F.lit(64))})
     most = F.when(F.col("kind") == 1, len(CLASSES) + 1).otherwise(rules.common_words)
     by_task = Window.partitionBy("lang", "kind", "salt").orderBy(F.desc("n"), "word")
-    lettered = (F.col("kind") == 1) | F.decode("word", "UTF-8").rlike(r"\p{L}")
-    near = counts.where(lettered).withColumn("place", F.row_number().over(by_task)).where(F.col("place") <= most)
+    near = counts.withColumn("place", F.row_number().over(by_task)).where(F.col("place") <= most)
     top = near.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))).where(F.col("place") <= most)
     references: dict = {}
     for row in top.collect():
