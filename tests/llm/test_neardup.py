@@ -149,3 +149,25 @@ def test_one_line_over_and_over_is_no_copy(spark):
     texts = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + line * 90) for i in range(12)]
     got = {r["doc_id"]: r["class_id"] for r in n.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {i: i for i in range(12)}
+
+
+def test_a_copy_with_a_repeated_line_is_found(spark):
+    # near by plain Jaccard only: the line's weight keeps the weighted signatures apart
+    rng = random.Random(11)
+    some = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    texts = []
+    for i in range(16):
+        base = some(104)
+        texts += [(2 * i, base), (2 * i + 1, base + f" {some(15)}" * 100)]
+    for (_, a), (_, b) in zip(texts[::2], texts[1::2]):
+        by_weight, plain = n.similarity(packed(a), packed(b))
+        assert by_weight < 0.6 and plain >= 0.8
+    got = {r["doc_id"]: r["class_id"] for r in n.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in texts}
+
+
+def test_texts_without_repeats_have_one_signature():
+    texts = [b"a b c d e f g h", b"", b"a b c d e a b c d e a b c d e", b"p q r s t u v"]
+    owner, element, count = n.shingles(texts, n.WordHashes())
+    keys = n.keys_of_texts(owner, element, count, len(texts), n.BANDS, n.ROWS)
+    assert [len(keys[i]) for i in (0, 1, 3)] == [n.BANDS, 0, n.BANDS] and n.BANDS <= len(keys[2]) <= 2 * n.BANDS
