@@ -2,7 +2,8 @@
 
 A rule is a regex with a label, a priority and a keyword that every match of it contains.  A text
 without any trigger runs no regex, and a triggered text only those rules whose keyword it
-holds.  Of overlapping detections, one that lies inside another of the same or a better
+holds.  A space of a rule is any white space, and a line end with the comment marks that the next line begins with, so
+texts match as they are wrapped.  Of overlapping detections, one that lies inside another of the same or a better
 priority, or around another of a better one, is suppressed.
 """
 
@@ -18,7 +19,10 @@ from pyspark.sql import DataFrame
 from .common import ALNUM, LOWER, per_worker, rows, utf8
 
 PHRASES = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl"))
-TRIGGERS = (b"licen", b"creative", b"cc0", b"cc by", b"cc-by", b"gpl", b"gfdl", b"public domain", b"rights reserved", b"warrant", b"redistribut", b"apache.org")
+TRIGGERS = (b"licen", b"creative", b"cc0", b"cc by", b"cc-by", b"gpl", b"gfdl", b"public domain", b"rights reserved", b"warrant", b"redistribut", b"apache.org", b"free of charge", b"permission to use", b"altered source versions", b"mozilla.org/mpl")
+#: What a space of a rule stands for, and what gates read as one space.
+GAP = rb"(?:[ \t\r]*\n[\s*#/;%|>]*|[ \t\r]+)"
+WRAP = re.compile(rb"[ \t\r]*\n[\s*#/;%|>]*|[ \t\r]{2,}|[\t\r]")
 #: Confidence of a detection by priority, best first; base phrases alone count as the last.
 CONFIDENCE = (0.99, 0.95, 0.85, 0.7, 0.5)
 
@@ -94,6 +98,21 @@ NAMES = (
     ("icu", rb"icu|unicode", b""),
     ("blueoak-1.0.0", rb"blue oak model|blueoak-1\.0\.0", b""),
 )
+#: Families that write the version after the name: label stem, name, versions.
+FAMILIES = (
+    ("mpl", rb"mozilla public", ("1.0", "1.1", "2.0")),
+    ("epl", rb"eclipse public", ("1.0", "2.0")),
+    ("eupl", rb"european union public", ("1.0", "1.1", "1.2")),
+    ("cddl", rb"common development and distribution", ("1.0", "1.1")),
+    ("cpl", rb"common public", ("1.0",)),
+    ("artistic", rb"artistic", ("1.0", "2.0")),
+    ("afl", rb"academic free", ("1.1", "1.2", "2.0", "2.1", "3.0")),
+    ("osl", rb"open software", ("1.0", "1.1", "2.0", "2.1", "3.0")),
+    ("ofl", rb"sil open font", ("1.0", "1.1")),
+    ("apache", rb"apache(?: software)?", ("1.0", "1.1", "2.0")),
+)
+#: Between a family's name and its version, as in 'License (CDDL) - v 1.0'.
+TO_VERSION = rb"(?: \([\"']?[a-z]+[\"']?\))?,?(?: -)? ?\(?(?:v(?:ersion|\.)? ?)?"
 #: GNU family: label stem, name, short name, versions.
 GNU = (
     ("agpl", rb"(?:gnu )?affero general public licen[sc]e", rb"agpl", ("3",)),
@@ -105,41 +124,66 @@ CC_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 CC_WORDS = {"by": rb"attribution", "sa": rb"share ?alike", "nd": rb"no ?deriv(?:ative)?s?(?: works)?", "nc": rb"non ?commercial"}
 NOTICES = (
-    ("mit", 1, b"free of charge", rb"permission is hereby granted, free of charge, to any person obtaining a copy.{0,400}warrant"),
-    ("isc", 1, b"permission to use", rb"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose.{0,300}(?:warrant|rights reserved)"),
+    ("mit", 1, b"free of charge", rb"permission is hereby granted, free of charge, to any person obtaining a copy(?! of (?:the (?:unicode|font)|this software, associated))(?!.{0,120}to deal with)"),
+    ("isc", 1, b"permission to use", rb"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose(?! with or without fee is hereby granted\.)"),
+    ("bsd-0-clause", 1, b"permission to use", rb"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\."),
     ("bsd", 2, b"redistribut", rb"redistributions? (?:of source code|and use in source and binary forms).{0,200}"),
-    ("zlib", 1, b"altered source versions", rb"altered source versions must be plainly marked.{0,100}warrant"),
+    ("zlib", 1, b"altered source versions", rb"altered source versions must be plainly marked"),
     ("apache-2.0", 1, b"apache.org/licenses/license-2.0", rb"https?://(?:www\.)?apache\.org/licenses/license-2\.0(?:\.txt|\.html)?"),
     ("mit", 1, b"opensource.org/licen", rb"https?://(?:www\.)?opensource\.org/licen[sc]es/mit\b"),
     ("gpl", 2, b"gnu.org/licen", rb"https?://(?:www\.)?gnu\.org/licen[sc]es/(?:gpl)?"),
-    ("mpl-2.0", 1, b"mozilla.org/mpl/2.0/ licen", rb"https?://(?:www\.)?mozilla\.org/mpl/2\.0/ licen[sc]e"),
+    ("mpl-2.0", 1, b"mozilla.org/mpl", rb"https?://(?:www\.)?mozilla\.org/mpl/2\.0\b/?"),
+    ("mpl-1.1", 1, b"mozilla.org/mpl", rb"https?://(?:www\.)?mozilla\.org/mpl/(?:mpl-)?1\.1\b"),
     ("public-domain", 3, b"public domain", rb"(?:released |placed |dedicated |is )?(?:in(?:to)? |to )?the public domain"),
     ("cc0-1.0", 1, b"cc0", rb"\bcc0(?:[ -]1\.0)?\b(?: universal)?"),
     ("cc0-1.0", 1, b"creativecommons.org/publicdomain", rb"https?://creativecommons\.org/publicdomain/zero/1\.0/?"),
     ("proprietary", 4, b"all rights reserved", rb"all rights reserved"),
     ("unlicense", 1, b"unlicen", rb"\bunlicen[sc]e\b|unlicense\.org"),
-    ("no-warranty", 4, b"warrant", rb"without warranty of any kind|without any warranty|as is, without warrant(?:y|ies)"),
+    ("no-warranty", 4, b"warrant", rb"without warranty of any kind|without any warranty|as[ -]is[\"']?, without warrant(?:y|ies)"),
     ("license-reference", 4, b"licen", rb"see (?:the )?(?:file )?licen[sc]e(?:\.txt|\.md)? (?:file )?for (?:details|more|the full)"),
     ("license-reference", 4, b"licen", rb"(?:re)?licen[sc]ed under [a-z0-9][a-z0-9 .,+-]{0,60}"),
 )
 
 
+def _number(version: str) -> bytes:
+    """This version and no longer one; '.0' may be left out."""
+    return re.escape(version.removesuffix(".0").encode()) + (rb"(?:\.0)?" if version.endswith(".0") else b"") + rb"(?!\d|\.\d)"
+
+
+def wrapped(regex: bytes) -> bytes:
+    """The rule with GAP for its spaces."""
+    parts = re.split(rb"(\[[^\]]*\])", regex.replace(b"[ -]+", rb"[\s*#/;%|>-]+").replace(b"[ -:]", rb"[\s -:]"))
+    return b"".join((rb"(?:" + GAP + rb"|-)" if x in (b"[ -]", b"[- ]") else x) if i % 2 else x.replace(b" ", GAP) for i, x in enumerate(parts))
+
+
 def signature_rules() -> list[Rule]:
     """All rules, in order of priority and then as listed."""
     out = []
     for label, name, literal in NAMES:
         spdx = re.escape(label.encode())
+        stem, _, version = label.rpartition("-")
+        # A family's name may go without a version, but not with another one's.
+        after = rb"(?:,? v(?:ersion|\.)? ?[\d.]*\d)?"
+        if stem in (x for x, _, _ in FAMILIES):
+            after = rb"(?:" + TO_VERSION + _number(version) + rb"|(?!" + TO_VERSION + rb"\d))"
         out.append(Rule(label, 0, b"spdx-licen", rb"spdx-licen[sc]e-identifier:\s*[^\n]{0,80}?\b" + spdx + rb"(?![\w.-])"))
-        out.append(Rule(label, 1, literal or b"licen", rb"(?:licen[sc]ed|released|distributed|available|published|covered) (?:under|by) (?:the )?(?:terms of (?:the )?)?\b(?:" + name + rb") ?(?:public )?licen[sc]e(?:,? v(?:ersion|\.)? ?[\d.]*\d)?"))
-        out.append(Rule(label, 2, literal or b"licen", rb"\b(?:" + name + rb")[ -]licen[sc]e(?:,? v(?:ersion|\.)? ?[\d.]*\d)?"))
+        out.append(Rule(label, 1, literal or b"licen", rb"(?:licen[sc]ed|released|distributed|available|published|covered) (?:under|by) (?:the )?(?:terms of (?:the )?)?\b(?:" + name + rb") ?(?:public )?licen[sc]e" + after))
+        out.append(Rule(label, 2, literal or b"licen", rb"\b(?:" + name + rb")[ -]licen[sc]e" + after))
     out.append(Rule("apache-2.0", 1, b"apache", rb"(?:licen[sc]ed under (?:the )?)?apache licen[sc]e,? v(?:ersion|\.)? ?2(?:\.0)?\b"))
     out.append(Rule("apache-1.1", 1, b"apache", rb"apache (?:software )?licen[sc]e,? v(?:ersion|\.)? ?1\.1\b"))
+    for stem, name, versions in FAMILIES:
+        for v in versions:
+            out.append(Rule(f"{stem}-{v}", 1, b"licen", rb"(?:(?:licen[sc]ed|released|distributed|available|published|covered) (?:under|by) (?:the )?(?:terms of (?:the )?)?)?\b" + name + rb" licen[sc]e" + TO_VERSION + _number(v)))
     for stem, name, short, versions in GNU:
         out.append(Rule(stem, 3, b"licen", rb"\b" + name))
         for v in versions:
             number = re.escape(v.encode()) + (rb"(?:\.0)?" if "." not in v else rb"")
             full = f"{stem}-{v}" if "." in v else f"{stem}-{v}.0"
-            out.append(Rule(f"{full}-or-later", 1, b"licen", rb"\b" + name + rb"[^\n]{0,60}?(?:,| )? ?v(?:ersion|\.)? ?" + number + rb"(?![\d]|\.\d)[^\n]{0,40}?or (?:\(at your option\) )?any later"))
+# Within a line or within a sentence.
+            out.append(Rule(f"{full}-or-later", 1, b"licen", rb"\b" + name + rb"(?:[^\n]{0,60}?|[^.]{0,100}?)(?:,| )? ?v(?:ersion|\.)? ?" + number + rb"(?![\d]|\.\d)(?:[^\n]{0,40}?|[^.]{0,60}?)or (?:\(at your option\) )?any later"))
+            out.append(Rule(full, 2, b"licen", rb"\b" + name + rb",? as published by the free software foundation[,;:]? (?:either )?v(?:ersion|\.)? ?" + number + rb"(?![\d]|\.\d)"))
+            out.append(Rule(f"{full}-or-later", 1, b"licen", rb"\bversion " + number + rb",? or (?:\(at your option\) )?any later(?: version)?,? of the " + name))
+            out.append(Rule(full, 2, b"licen", rb"\bversion " + number + rb" of the " + name))
             out.append(Rule(full, 2, b"licen", rb"\b" + name + rb",? ?\(?(?:v(?:ersion|\.)? ?)?" + number + rb"(?![\d]|\.\d)"))
             out.append(Rule(full, 2, short, rb"\b" + short + rb"[ -]?v?" + number + rb"(?![\d]|\.\d)(?:-only|-or-later|\+)?"))
             out.append(Rule(full, 0, b"spdx-licen", rb"spdx-licen[sc]e-identifier:\s*[^\n]{0,80}?\b" + short + rb"-" + number + rb"(?:-only|-or-later|\+)?"))
@@ -160,18 +204,19 @@ def signature_rules() -> list[Rule]:
 def _compiled() -> tuple[list[bytes], dict[bytes, list[tuple[int, Rule, re.Pattern]]]]:
     by_keyword: dict = {}
     for i, rule in enumerate(signature_rules()):
-        by_keyword.setdefault(rule.keyword, []).append((i, rule, re.compile(rule.regex, re.S)))
+        by_keyword.setdefault(rule.keyword, []).append((i, rule, re.compile(wrapped(rule.regex), re.S)))
     return sorted(by_keyword), by_keyword
 
 
 def detect(lower: bytes) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) in bytes of a lower-cased text, without suppressed ones."""
-    if not any(t in lower for t in TRIGGERS):
+    flat = WRAP.sub(b" ", lower)
+    if not any(t in flat for t in TRIGGERS):
         return []
     keywords, by_keyword = per_worker("licenses", _compiled)
     found = []
     for k in keywords:
-        if k in lower:
+        if k in flat:
             for order, rule, regex in by_keyword[k]:
                 found += [(rule.priority, m.start() - m.end(), order, m.start(), m.end(), rule.label) for m in regex.finditer(lower)]
     kept: list[tuple[int, int, str, int]] = []
