@@ -49,6 +49,14 @@ def test_awkward_shapes():
     assert check_plan({2049: 9}, 4096) == 9 and check_plan({1: 4097}, 4096) == 2
 
 
+def test_lengths_that_cannot_fill_a_sequence():
+    # the fullest configuration leaves six tokens free
+    assert check_plan({2000: 1000, 1400: 1000, 690: 1000}, 4096) == 1000
+    # two of 2040, and two each of 1200 and 800; or one of each
+    assert check_plan({2040: 500, 1200: 500, 800: 500}, 4096) == 500
+    assert check_plan({2000: 1000, 1400: 1000, 690: 1000, 4096: 7}, 4096) == 1007
+
+
 def brute_price(lengths, values, capacity):
     best = [0.0] * (capacity + 1)
     for c in range(1, capacity + 1):

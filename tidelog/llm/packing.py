@@ -108,14 +108,13 @@ def _fill(rest: dict[int, int], live: np.ndarray, capacity: int) -> dict[int, in
     return pattern
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, configuration): together they hold every piece exactly once.
+def _tokens(pattern: dict[int, int]) -> int:
+    return sum(k * a for k, a in pattern.items())
 
-    The list's length depends on the number of distinct lengths, not of pieces.
-    """
-    rest = {int(k): int(n) for k, n in histogram.items() if n > 0}
-    if any(not 0 < k <= capacity for k in rest):
-        raise ValueError("lengths lie between 1 and the capacity")
+
+def _rounded(histogram: dict[int, int], solution: list[tuple[float, dict[int, int]]], least: int, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Whole uses of the solution's configurations of at least ``least`` tokens, and best fit for what they leave."""
+    rest = dict(histogram)
     out: list[tuple[int, dict[int, int]]] = []
 
     def use(n: int, pattern: dict[int, int]) -> None:
@@ -125,17 +124,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
             if not rest[k]:
                 del rest[k]
 
-    if capacity in rest:
-        use(rest[capacity], {capacity: 1})
-    if rest:
-        lengths = np.array(sorted(rest), np.int64)
-        counts = np.array([rest[int(k)] for k in lengths], np.float64)
-        for x, pattern in solve_weights(lengths, counts, capacity, rounds):
-            if sum(k * a for k, a in pattern.items()) < capacity - 1:
-                continue
-            n = min([int(x), *(rest.get(k, 0) // a for k, a in pattern.items())])
-            if n > 0:
-                use(n, pattern)
+    for x, pattern in solution:
+        if _tokens(pattern) < least:
+            continue
+        n = int(min([x, *(rest.get(k, 0) // a for k, a in pattern.items())]))
+        if n > 0:
+            use(n, pattern)
     while rest:
         live = np.array(sorted(rest), np.int64)
         pattern = _fill(rest, live, capacity)
@@ -143,6 +137,28 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+    """(sequences, configuration): together they hold every piece exactly once.
+
+    The solution is rounded by its full configurations alone, by those about as full as its fullest, by all
+    of them, by all with the fullest first and as often as pieces last, and by none (best fit); the plan of the
+    fewest sequences is taken.  The list's length depends on the number of distinct lengths, not of pieces.
+    """
+    rest = {int(k): int(n) for k, n in histogram.items() if n > 0}
+    if any(not 0 < k <= capacity for k in rest):
+        raise ValueError("lengths lie between 1 and the capacity")
+    whole = [(rest.pop(capacity), {capacity: 1})] if capacity in rest else []
+    if not rest:
+        return whole
+    lengths = np.array(sorted(rest), np.int64)
+    counts = np.array([rest[int(k)] for k in lengths], np.float64)
+    solution = solve_weights(lengths, counts, capacity, rounds)
+    by_fill = [(float("inf"), pattern) for _, pattern in sorted(solution, key=lambda x: -_tokens(x[1]))]
+    limits = dict.fromkeys((capacity - 1, max((_tokens(pattern) for _, pattern in solution), default=0) - 1, 0, capacity + 1))
+    plans = [_rounded(rest, solution, least, capacity) for least in limits] + [_rounded(rest, by_fill, 0, capacity)]
+    return whole + min(plans, key=lambda x: sum(n for n, _ in x))
+
+
 def runs(configurations: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, pieces a sequence, first sequence, offset): ranks of a length
     go to a configuration's sequences in turn."""
