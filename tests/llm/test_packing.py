@@ -111,6 +111,14 @@ def test_pieces_and_places(spark):
     assert check_places(out) <= -(-total // 4096) + 1
 
 
+def test_capitals_with_marks(spark):
+    # pairs that compose in lower case only, alone, with a mark between, and among others
+    pairs = ["J\u030c", "T\u0308", "W\u030a", "H\u0331", "Y\u030a"]
+    texts = list(enumerate([*pairs, *(f"Some {x}abc, WORD {x}! {x.lower()}" for x in pairs), "J\u0323\u030cA", "J\u0591\u030cA", "E\u0301T\u00c9 A\u0308", "=\u0338 A \u030c"]))
+    out = p.pack(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out), key=repr) == expected_pieces(texts)
+
+
 def test_awkward(spark, awkward, nothing):
     out = p.pack(awkward).collect()
     check_places(out)

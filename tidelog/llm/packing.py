@@ -209,6 +209,21 @@ class Ids(dict):
         return packed
 
 
+def chunks(text: bytes) -> list[bytes]:
+    """What lies between spaces and line ends, A-Z in lower case where that leaves the ids the same.
+
+    The tokenizer lowers case itself, but for its special tokens, after it has composed: a letter and a mark
+    (U+0300 to U+037F, first byte CC or CD) may compose in lower case alone, so chunks with marks stay.
+    """
+    text = text.replace(b"\n", b" ")
+    if b"<|" in text:
+        return text.split(b" ")
+    lower = text.lower().split(b" ")
+    if b"\xcc" in text or b"\xcd" in text:
+        return [x if b"\xcc" in x or b"\xcd" in x else y for x, y in zip(text.split(b" "), lower)]
+    return lower
+
+
 def cut_pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """Rows ``doc_id, piece, start, length, ids_crc32, __task, __rank``.
 
@@ -224,9 +239,7 @@ def cut_pieces(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity:
         for batch in rows(batches):
             doc, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                # The tokenizer lowers case itself, but for its special tokens.
-                text = text.replace(b"\n", b" ") if b"<|" in text else text.replace(b"\n", b" ").lower()
-                ids = b"".join(map(known.__getitem__, text.split(b" "))) + end
+                ids = b"".join(map(known.__getitem__, chunks(text))) + end
                 for p, a in enumerate(range(0, len(ids), width)):
                     own = ids[a : a + width]
                     n = len(own) // 4
