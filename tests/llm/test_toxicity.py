@@ -81,3 +81,12 @@ def test_awkward(spark, awkward, nothing):
     assert x.score(nothing, x.fit(nothing, labels.limit(0))).count() == 0
     kept = x.drop_toxic(awkward, x.Model())
     assert unchanged(kept, awkward) and kept.count() == 9 and x.drop_toxic(nothing, model).count() == 0
+
+
+def test_labels_of_one_kind_drop_nothing(spark, awkward):
+    kind = "doc_id long, toxic int"
+    for labels in ([], [(99, 1)], [(5, None)], [(5, 1), (8, 1)], [(5, 0), (8, 0)]):
+        model = x.fit(awkward, spark.createDataFrame(labels, kind))
+        kept = x.drop_toxic(awkward, model)
+        assert unchanged(kept, awkward) and kept.count() == 9, labels
+        assert all(r["score"] < 0.5 and r["predicted"] == 0 for r in x.score(awkward, model).collect())

@@ -249,15 +249,16 @@ class Scorer:
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
-    """Train on the bounded sample.  Without toxic or without other rows the model
-    knows no feature and gives every text the (smoothed) share of toxic rows."""
+    """Train on the bounded sample.  Without toxic or without other rows the model knows no
+    feature: without toxic ones it gives every text their smoothed share, and without any
+    others, as when nothing is labelled, the low prior of ``Model``, so no document is dropped."""
     once: dict[bytes, bytes] = {}  # a word of the sample is one object
     sample = [([once.setdefault(w, w) for w in text.translate(ALNUM).split()], label) for text, label in training_sample(documents, labels, most)]
     n_toxic = sum(y for _, y in sample)
     share = (n_toxic + 0.5) / (len(sample) + 1)
     prior = math.log(share / (1 - share))
     if not 0 < n_toxic < len(sample):
-        return Model(calibration=(prior, 0.0, 0.0))
+        return Model() if n_toxic == len(sample) else Model(calibration=(prior, 0.0, 0.0))
     weights, bias, trans = train_field(_chains(sample, pick_features(sample)))
     scorer = Scorer(Model(weights, bias, trans))
     x = np.array([[1.0, *_signals(scorer, words)] for words, _ in sample])
