@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import signal
 import sys
 from pathlib import Path
 
@@ -19,7 +20,9 @@ def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidelog", exit_on_error=False)
     parser.add_argument("pipeline", help="YAML settings")
     parser.add_argument("--source", default="", help="folder of <database>/<table>.parquet and .changes; JDBC by the settings without it")
-    parser.add_argument("--target", default="tidelog-out", help="folder of the written tables")
+    parser.add_argument("--target", default="", help="folder of versioned tables, in place of the sink's server")
+    parser.add_argument("--follow", action="store_true", help="go on with changes as they arrive, until stopped")
+    parser.add_argument("--available", action="store_true", help="with --follow: end with what is there now")
     parser.add_argument("--check", action="store_true", help="only read the settings")
     try:
         args = parser.parse_args(arguments)
@@ -35,19 +38,29 @@ def main(arguments: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from .plans.job import run_batch
+    from .plans.job import Job
     from .sources.tables import FolderSource, JdbcSource
 
     spark = SparkSession.builder.appName(pipeline.runtime.name).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         if args.source:
-            names = [(p.parent.name, p.name.removesuffix(".parquet")) for p in sorted(Path(args.source).glob("*/*.parquet"))]
-            source = FolderSource(spark, args.source, names)
+            source = FolderSource.open(spark, args.source)
         else:
             s = pipeline.source
             source = JdbcSource(spark, f"jdbc:mysql://{s.hostname}:{s.port}/", {"user": s.username, "password": s.password} | s.jdbc_properties, pipeline.runtime.parallelism)
-        for name, rows in run_batch(spark, pipeline, source, args.target).items():
-            logging.getLogger("tidelog").info("%s: %s rows", name, rows)
+        job = Job(spark, pipeline, source, args.target)
+        if args.follow:
+            interval = None if args.available else f"{pipeline.checkpoint.interval} seconds"
+            query = job.follow(f"{pipeline.checkpoint.file_path}.stream", interval)
+            signal.signal(signal.SIGTERM, lambda *_: query.stop())
+            try:
+                query.awaitTermination()
+            except KeyboardInterrupt:
+                query.stop()
+            logging.getLogger("tidelog").info("stopped: %s", job.stats.report())
+        else:
+            for name, position in job.run().items():
+                logging.getLogger("tidelog").info("%s: up to %s", name, position)
     except Exception:
         logging.getLogger("tidelog").exception("the run failed")
         return 1

@@ -6,7 +6,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from ..plans.ddl import quote
+from ..plans.ddl import Change, quote
 from ..plans.schema import BYTES, Column, SchemaError, Table, parse_type
 
 TEXT_TYPES = ("tinytext", "text", "mediumtext", "longtext")
@@ -15,6 +15,7 @@ DECIMALS = ("decimal", "numeric", "dec", "fixed")
 DORIS_INTEGERS = {"tinyint": ("TINYINT", "SMALLINT"), "smallint": ("SMALLINT", "INT"), "mediumint": ("INT", "INT"), "int": ("INT", "BIGINT"), "integer": ("INT", "BIGINT"), "bigint": ("BIGINT", "LARGEINT"), "year": ("SMALLINT", "SMALLINT")}
 POSTGRES_INTEGERS = {"tinyint": ("SMALLINT", "SMALLINT"), "smallint": ("INTEGER", "INTEGER"), "mediumint": ("INTEGER", "BIGINT"), "int": ("INTEGER", "BIGINT"), "integer": ("INTEGER", "BIGINT"), "bigint": ("BIGINT", "NUMERIC(20,0)"), "year": ("SMALLINT", "SMALLINT")}
 ELASTIC_INTEGERS = {"bool": ("byte", "byte"), "boolean": ("byte", "byte"), "tinyint": ("byte", "short"), "smallint": ("short", "integer"), "mediumint": ("integer", "integer"), "int": ("integer", "long"), "integer": ("integer", "long"), "bigint": ("long", "unsigned_long")}
+#: Lengths that the targets allow, and date formats.
 BYTES_PER_CHAR, DORIS_CHAR, DORIS_VARCHAR = 3, 255, 65533
 POSTGRES_CHAR = 10_485_760
 KEYWORD_CHARS = 512
@@ -205,6 +206,28 @@ def create_postgres(t: Table, schema: str = "public") -> str:
     return f'CREATE TABLE {quote(schema, chr(34))}.{quote(t.table, chr(34))} ({", ".join(parts)})'
 
 
+def alter_postgres(old: Table, new: Table, change: Change, schema: str = "public") -> list[str]:
+    """Statements that bring a target from ``old`` to ``new``; each may be run again without harm."""
+    head = f'ALTER TABLE {quote(schema, chr(34))}.{quote(new.table, chr(34))}'
+    name = lambda c: quote(c, '"')
+    out = []
+    if change.action == "add-column":
+        for c in new.columns:
+            if old.column(c.name) is None:
+                kind = postgres_type(c.type)
+                default = postgres_default(c, kind)
+                out.append(" ".join([f"{head} ADD COLUMN IF NOT EXISTS {name(c.name)} {kind}", *([] if c.nullable else ["NOT NULL"]), *([] if default is None else [f"DEFAULT {default}"])]))
+    elif change.action == "drop-column":
+        out = [f"{head} DROP COLUMN IF EXISTS {name(c.name)}" for c in old.columns if new.column(c.name) is None]
+    else:
+        for a, b in zip(old.columns, new.columns):
+            if a.name != b.name:
+                out.append(f"{head} RENAME COLUMN {name(a.name)} TO {name(b.name)}")
+            if postgres_type(a.type) != postgres_type(b.type):
+                out.append(f"{head} ALTER COLUMN {name(b.name)} TYPE {postgres_type(b.type)}")
+    return out
+
+
 DORIS_KEY_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT", "LARGEINT", "DATE", "DATETIME", "CHAR", "VARCHAR", "DECIMAL")
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .changelog import image_type
 
+#: Place of a merged log's source table, if the log has it.
+RANK = "rank"
+
 
 def key_changed(keys: tuple[str, ...]) -> Column:
     """Whether an update moves its row to another key."""
@@ -16,42 +19,50 @@ def key_changed(keys: tuple[str, ...]) -> Column:
 
 
 def split_key_changes(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Writes: ``row, deleted, seq, sub_seq``.  A changed key is a delete of the old, then a write of the new."""
+    """Writes: ``row, deleted, seq, sub_seq`` (and ``rank``, if the log has it).  A changed key is a delete of the old, then a write of the new."""
     kind = image_type(log)
     write = lambda row, deleted, sub: F.struct(row.cast(kind).alias("row"), F.lit(deleted).alias("deleted"), F.lit(sub).alias("sub_seq"))
     after, before = write(F.col("after"), False, 1), write(F.col("before"), True, 0)
     writes = F.when(F.col("op") == "d", F.array(before)).when((F.col("op") == "u") & key_changed(keys), F.array(before, after)).otherwise(F.array(after))
-    return log.where("op in ('r', 'c', 'u', 'd')").select("seq", F.explode(writes).alias("w")).select("w.row", "w.deleted", "seq", "w.sub_seq")
+    rank = [c for c in log.columns if c == RANK]
+    return log.where("op in ('r', 'c', 'u', 'd')").select("seq", *rank, F.explode(writes).alias("w")).select("w.row", "w.deleted", "seq", "w.sub_seq", *rank)
+
+
+def any_null(row: str, keys: tuple[str, ...]) -> Column:
+    """Whether a key of the struct ``row`` is null."""
+    return reduce(lambda a, b: a | b, (F.col(f"{row}.`{k}`").isNull() for k in keys))
 
 
 def last_writes(writes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The last write of each key: one aggregation, combined before the shuffle.
 
     So a key with very many changes sends one row per task, and no key's changes are ever sorted.
-    Sequence numbers lie below 2^62.
+    Sequence numbers lie below 2^62.  Where tables are merged, the one of the higher ``rank`` wins a tie.  A null key raises
+    here, for batches, streams and writers alike: it would never meet its row again.
     """
+    writes = writes.where(F.when(any_null("row", keys), F.raise_error(F.lit("a key is null"))).otherwise(F.lit(True)))
+    order = F.col("seq") * 2 + F.col("sub_seq")
+    if RANK in writes.columns:
+        order = F.struct(order, F.col(RANK))
     by = [F.col(f"row.`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
-    return writes.groupBy(*by).agg(F.max_by(F.struct("row", "deleted"), F.col("seq") * 2 + F.col("sub_seq")).alias("w")).select("w.row", "w.deleted")
+    return writes.groupBy(*by).agg(F.max_by(F.struct("row", "deleted"), order).alias("w")).select("w.row", "w.deleted")
 
 
 def null_keys(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Events that write or delete by a key that is null."""
-    missing = lambda side: reduce(lambda a, b: a | b, (F.col(f"{side}.`{k}`").isNull() for k in keys))
-    return log.where((F.col("op").isin("r", "c", "u") & missing("after")) | (F.col("op").isin("d") & missing("before")))
+    return log.where((F.col("op").isin("r", "c", "u") & any_null("after", keys)) | (F.col("op").isin("d", "u") & any_null("before", keys) & F.col("before").isNotNull()))
 
 
 def current_state(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """The table that the log leaves behind.
 
     Without keys rows are appended, replays twice, and deletes can't be carried out.  A row that
-    only has key columns needs nothing special.  A null key raises: it would never meet its row again.
+    only has key columns needs nothing special.  A null key raises.
     """
     if not keys:
         bad = F.when(F.col("op") == "d", F.raise_error(F.lit("a table without keys has no key for delete")))
         return log.where(F.col("op").isin("r", "c", "u") | bad.isNotNull()).select("after.*")
-    checked = reduce(lambda a, b: a | b, (F.col(f"row.`{k}`").isNull() for k in keys))
-    writes = split_key_changes(log, keys).where(F.when(checked, F.raise_error(F.lit("a key is null"))).otherwise(F.lit(True)))
-    return last_writes(writes, keys).where("not deleted").select("row.*")
+    return last_writes(split_key_changes(log, keys), keys).where("not deleted").select("row.*")
 
 
 def merge_state(base: DataFrame, log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -75,7 +86,7 @@ def coalesce_batches(log: DataFrame, keys: tuple[str, ...], batch: Column) -> Da
 
 def doris_violations(log: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
     """Events that a target without deletes and key changes refuses, each with a ``reason``."""
-    missing = reduce(lambda a, b: a | b, (F.col(f"after.`{k}`").isNull() for k in keys)) if keys else F.lit(False)
+    missing = any_null("after", keys) if keys else F.lit(False)
     unknown = sorted(set(image_type(log).fieldNames()) - set(columns))
     reason = F.when(F.col("op") == "d", "delete is not supported").when(F.col("after").isNull(), "no after image")
     if not keys:

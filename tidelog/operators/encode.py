@@ -83,9 +83,9 @@ def message_key(log: DataFrame, keys: tuple[str, ...]) -> Column:
     return F.when(F.col("op") == "d", part("before")).otherwise(part("after"))
 
 
-def kafka_records(log: DataFrame, keys: tuple[str, ...], default_topic: str, ts_ms: int) -> DataFrame:
-    """``topic, key, value`` of routed events, as the Kafka writer takes them."""
-    return envelope(log, ts_ms).select(topic(default_topic).alias("topic"), message_key(log, keys).alias("key"), "value")
+def kafka_records(log: DataFrame, keys: tuple[str, ...], default_topic: str, ts_ms: int, name: str = "mysql_binlog_source") -> DataFrame:
+    """``topic, key, value`` of routed events, and ``seq``, as the Kafka writer takes them."""
+    return envelope(log, ts_ms, name).select(topic(default_topic).alias("topic"), message_key(log, keys).alias("key"), "value", "seq")
 
 
 # --- Elasticsearch ------------------------------------------------------------------------
@@ -312,6 +312,17 @@ def sql_statements(log: DataFrame, dialect: str, database: str, table: str, keys
     return log.select("seq", F.explode(out).alias("s")).select("seq", "s.*")
 
 
+def write_statements(last: DataFrame, dialect: str, database: str, table: str, keys: tuple[str, ...]) -> DataFrame:
+    """``sql, args`` of last writes (``row, deleted``): one statement a key, so they may run in any order."""
+    columns = tuple(image_type(last, "row").fieldNames())
+    args = lambda names: F.array(*(F.col(f"row.`{n}`").cast("string") for n in names))
+    put = F.struct(F.lit(upsert_sql(dialect, database, table, columns, keys)).alias("sql"), args(columns).alias("args"))
+    if not keys:
+        return last.select(put.alias("s")).select("s.*")
+    cut = F.struct(F.lit(delete_sql(dialect, database, table, keys)).alias("sql"), args(keys).alias("args"))
+    return last.select(F.when(F.col("deleted"), cut).otherwise(put).alias("s")).select("s.*")
+
+
 #: PostgreSQL states that are worth another try.
 POSTGRES_RETRYABLE = ("40001", "40P01", "57P01", "57P03")
 

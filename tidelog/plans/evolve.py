@@ -110,6 +110,10 @@ def postgres_target_problems(source: Table, target: dict[str, dict], target_keys
     return out + [f"extra column {n} needs a default" for n, own in target.items() if n not in known and not own["nullable"] and not own.get("default")]
 
 
+class SchemaChangeError(RuntimeError):
+    """A schema change that the policy or the target doesn't let pass; the batch fails and is replayed."""
+
+
 # --- policy -----------------------------------------------------------------------------
 
 #: Names of changes in settings.

@@ -2,40 +2,72 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Keys that one task numbers when splits are planned.
-BLOCKS = 64
+#: Keys that one task orders when splits are planned.
+BLOCK_KEYS = 20_000_000
 
 
-def plan_splits(table: DataFrame, key: str, chunk_size: int) -> DataFrame:
+def plan_splits(table: DataFrame, key: str, chunk_size: int, unique: bool = False, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """``split_id, low, high``: ranges ``[low, high)`` of the key, the last without ``high``.
 
     The lows are the keys at every (``chunk_size`` - 1)th place; an empty table has no split.  Only
-    the key column is read.  Places come from ranges of the key that are numbered by themselves and
-    moved by the counts of the ranges before, so the keys are never ordered in one task; only
-    the lows (one in ``chunk_size``) are.
+    the key column is read.  Ranges of the key, as many as their size asks for, are numbered by themselves and
+    moved by the counts of the ranges before, so no task orders more than about ``block_keys`` keys; only
+    the lows (one in ``chunk_size``) meet.  A range's edges are found once, so a lost executor numbers its keys as
+    before.  ``unique`` keys (a primary key of one column) need no distinct.
     """
     step = chunk_size - 1
-    keys = table.select(F.col(f"`{key}`").alias("k")).where("k is not null").distinct()
+    keys = table.select(F.col(f"`{key}`").alias("k")).where("k is not null")
     if step < 1:
         if keys.isEmpty():
             return keys.select(F.lit(0).alias("split_id"), F.col("k").alias("low"), F.col("k").alias("high")).limit(0)
         raise ValueError("chunk size 1 cannot advance over a table")
-    ranged = keys.repartitionByRange(BLOCKS, "k").withColumn("block", F.spark_partition_id())
-    local = ranged.withColumn("at", F.row_number().over(Window.partitionBy("block").orderBy("k")) - 1)
-    sizes = local.groupBy("block").agg((F.max("at") + 1).alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    lows = local.join(F.broadcast(starts.select("block", "start")), "block").withColumn("place", F.col("start") + F.col("at")).where(F.col("place") % step == 0)
-    numbered = lows.select((F.col("place") / step).cast("long").alias("split_id"), F.col("k").alias("low"))
+    edges = _edges(keys, max(1, math.ceil(keys.count() / block_keys)))
+    block = _block(edges)
+    keys = keys if unique else keys.distinct()
+    sizes = {r["b"]: r["n"] for r in keys.groupBy(block.alias("b")).agg(F.count("*").alias("n")).collect()}
+    starts, at = {}, 0
+    for b in sorted(sizes):
+        starts[b], at = at, at + sizes[b]
+    start = F.create_map(*(F.lit(x) for b in starts for x in (b, starts[b])))[F.col("block")] if starts else F.lit(0)
+    local = keys.withColumn("block", block).withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("k")) - 1 + start)
+    numbered = local.where(F.col("place") % step == 0).select((F.col("place") / step).cast("long").alias("split_id"), F.col("k").alias("low"))
     nexts = numbered.select((F.col("split_id") - 1).alias("split_id"), F.col("low").alias("high"))
     return numbered.join(nexts, "split_id", "left").select("split_id", "low", "high")
 
 
+def _block(edges: list) -> Column:
+    """The number of edges at or below the key ``k``: a look at every so-manieth edge, then at those between."""
+    below = lambda some: F.size(F.filter(some, lambda e: e <= F.col("k")))
+    if len(edges) <= 64:
+        return below(F.array(*map(F.lit, edges))) if edges else F.lit(0)
+    step = math.isqrt(len(edges))
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    coarse = below(F.array(*(F.lit(g[0]) for g in groups)))
+    fine = below(F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.greatest(coarse, F.lit(1))))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+
+
+def _edges(keys: DataFrame, blocks: int) -> list:
+    """Keys that part the others into about equal ranges, from a sketch (numbers) or a sample (other types)."""
+    if blocks == 1:
+        return []
+    kind = keys.schema["k"].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        found = keys.agg(F.percentile_approx("k", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0]
+    else:
+        some = sorted(r["k"] for r in keys.where(F.rand(7) < min(1.0, 100 * blocks / max(1, keys.count()))).collect())
+        found = some[:: max(1, len(some) // blocks)][1:]
+    return sorted(set(found))
+
+
 def split_predicate(key: str, low: object, high: object) -> Column:
     """One split as a condition that the scan prunes by; null bounds are open."""
     k = F.col(f"`{key}`")

@@ -16,22 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.apply import last_writes, merge_state, split_key_changes
+from ..operators.apply import last_writes, split_key_changes
 from ..operators.changelog import read_changes
 from ..operators.transform import apply_rule
 from ..plans import ddl
-from ..plans.evolve import Applied, Policy, Refused, evolve_state, plan_change, sink_outcome
+from ..plans.evolve import Applied, Policy, Refused, SchemaChangeError, evolve_state, plan_change, sink_outcome
 from ..plans.schema import Column, Table
 from ..plans.selector import Rule
-from .tables import DELETED, VersionedTable
+from .tables import DELETED, Draft, VersionedTable
 
 log = logging.getLogger("tidelog")
 
 
-class SchemaChangeError(RuntimeError):
-    """A schema change that the policy doesn't let pass; the batch fails and is replayed."""
-
-
 @dataclass
 class Stats:
     """Totals, and what changed since the last report."""
@@ -54,16 +50,16 @@ class Stats:
         return {"batches": self.batches, "skipped": self.skipped, "rows": self.rows, "delta": self.rows - before, "rows_per_s": (self.rows - before) / seconds}
 
 
-def segments(batch: DataFrame) -> Iterator[tuple[DataFrame, str | None]]:
-    """The batch cut at its schema changes: rows before each one, then its statement.
+def segments(batch: DataFrame) -> Iterator[tuple[DataFrame, dict | None]]:
+    """The batch cut at its schema changes: rows before each one, then its statement (``seq, ddl, source_db, source_table, source_ts_ms``).
 
     Only the statements, which are few, reach the driver.
     """
-    statements = batch.where("op = 'ddl'").select("seq", "ddl").orderBy("seq").collect()
+    statements = batch.where("op = 'ddl'").select("seq", "ddl", *(c for c in ("source_db", "source_table", "source_ts_ms") if c in batch.columns)).orderBy("seq").collect()
     low = None
     for row in statements:
         part = batch.where((F.col("op") != "ddl") & (F.col("seq") < row["seq"]))
-        yield (part if low is None else part.where(F.col("seq") > low)), row["ddl"]
+        yield (part if low is None else part.where(F.col("seq") > low)), row.asDict()
         low = row["seq"]
     rest = batch.where("op != 'ddl'")
     yield (rest if low is None else rest.where(F.col("seq") > low)), None
@@ -93,57 +89,38 @@ class TableApplier:
             return
         batch = batch.persist()
         try:
-            if batch.where("op = 'ddl'").isEmpty() and self._append(batch, batch_id):
-                self.stats.add(batch.count())
-                log.info("batch %s: %s", batch_id, self.stats.report())
-                return
-            current = self.state.read()
+            draft = self.state.begin(batch_id)
             for rows, statement in segments(batch):
                 out = apply_rule(rows, self.rule)
                 if self.keys:
-                    base = current if current is not None else self.spark.createDataFrame([], out.schema["after"].dataType)
-                    current = merge_state(base, out.select("op", "before", "after", "seq"), self.keys)
+                    last = last_writes(split_key_changes(out.select("op", "before", "after", "seq"), self.keys), self.keys).select("row.*", F.col("deleted").alias(DELETED))
                 else:
-                    fresh = out.where("op in ('r', 'c', 'u')").select("after.*")
-                    current = fresh if current is None else current.unionByName(fresh, allowMissingColumns=True)
+                    last = out.where("op in ('r', 'c', 'u')").select("after.*", F.lit(False).alias(DELETED))
+                draft.append(last)
                 if statement is not None:
-                    current = self._change(current, statement)
-            self.state.replace(current, batch_id)
+                    self._change(draft, statement["ddl"])
+            draft.publish()
             self.stats.add(batch.count())
             log.info("batch %s: %s", batch_id, self.stats.report())
         finally:
             batch.unpersist()
 
-    def _append(self, batch: DataFrame, batch_id: int) -> bool:
-        """A batch without schema changes becomes a delta; False where its columns aren't the table's."""
-        out = apply_rule(batch, self.rule)
-        if self.keys:
-            last = last_writes(split_key_changes(out.select("op", "before", "after", "seq"), self.keys), self.keys).select("row.*", F.col("deleted").alias(DELETED))
-        else:
-            last = out.where("op in ('r', 'c', 'u')").select("after.*", F.lit(False).alias(DELETED))
-        known = self.state.schema()
-        if known is not None and [(f.name, f.dataType) for f in known] != [(f.name, f.dataType) for f in last.schema if f.name != DELETED]:
-            return False
-        return self.state.append(last, batch_id)
-
-    def _change(self, current: DataFrame, statement: str) -> DataFrame:
+    def _change(self, draft: Draft, statement: str) -> None:
         change = ddl.classify(statement)
         outcome = sink_outcome(change, self.policy, self.rule.columns if self.rule else ())
         if outcome.verb == "fail":
             raise SchemaChangeError(f"{statement}: {outcome.reason}")
         if outcome.verb != "execute":
-            return current
-        if change.action == ddl.TRUNCATE:
-            return current.limit(0)
-        if change.action == ddl.DROP_TABLE:
-            return current.limit(0)
+            return
+        if change.action in (ddl.TRUNCATE, ddl.DROP_TABLE):
+            draft.truncate()
+            return
         plan = plan_change(self.table, change, self.definitions(change))
         if isinstance(plan, Refused):
             raise SchemaChangeError(f"{statement}: {plan.reason}")
         if isinstance(plan, Applied):
-            current = evolve_state(current, change, plan.table)
+            draft.replace(evolve_state(draft.read(), change, plan.table))
             self.table = plan.table
-        return current
 
 
 def change_stream(spark: SparkSession, folder: str, columns: T.StructType, files_per_batch: int = 64) -> DataFrame:
