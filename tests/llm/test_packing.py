@@ -10,7 +10,9 @@ from tidelog.llm import packing as p
 def check_plan(histogram, capacity):
     used = {}
     sequences = 0
-    for n, pattern in p.plan(histogram, capacity):
+    plan = p.plan(histogram, capacity)
+    assert plan.bound <= plan.sequences
+    for n, pattern in plan.all:
         assert n > 0 and 0 < sum(k * a for k, a in pattern.items()) <= capacity
         sequences += n
         for k, a in pattern.items():
@@ -30,7 +32,7 @@ def test_plans_hold_every_piece_once():
         total = sum(k * n for k, n in histogram.items())
         best = -(-total // capacity)
         assert best <= check_plan(histogram, capacity) <= 1.5 * best + 2
-    assert p.plan({}) == []
+    assert p.plan({}).all == []
     with pytest.raises(ValueError):
         p.plan({p.CAPACITY + 1: 1})
 
@@ -69,10 +71,48 @@ def test_pricing_is_the_best_knapsack():
     for _ in range(40):
         lengths = rng.sample(range(1, 40), rng.randint(1, 12))
         values = [rng.random() for _ in lengths]
-        got = p.price(np.array(lengths), np.array(values), np.full(len(lengths), 10_000), 60)
-        worth = dict(zip(lengths, values))
-        assert sum(k * n for k, n in got.items()) <= 60
-        assert sum(worth[k] * n for k, n in got.items()) == pytest.approx(brute_price(lengths, values, 60))
+        dense = np.full(61, -np.inf)
+        dense[lengths] = values
+        assert p.price(dense)[60] == pytest.approx(brute_price(lengths, values, 60))
+
+
+def test_a_round_covers_within_the_tolerance_of_the_best_price():
+    rng = np.random.default_rng(4)
+    counts = np.zeros(201)
+    counts[rng.choice(np.arange(1, 200), 60, replace=False)] = 50
+    values = np.where(counts > 0, np.arange(201) * rng.uniform(0.8, 1, 201), -np.inf)
+    best = p.price(values)
+    uses = p.cover(counts, values, best, 0.01)
+    held = np.zeros(201)
+    for key, x in uses.items():
+        assert x > 0 and sum(k * a for k, a in key) <= 200
+        first = max(k for k, _ in key)
+        worth = sum(values[k] * a for k, a in key)
+        assert any(worth >= values[k] + best[200 - k] - 0.01 * best[200] - 1e-9 for k, _ in key), (first, worth)
+        for k, a in key:
+            held[k] += x * a
+    assert (held >= counts - 1e-6).all()
+
+
+def test_solution_is_a_cover_and_the_bound_below_it():
+    for histogram in ({2500: 1000, 1000: 1500}, {2000: 1000, 1400: 1000, 690: 1000}, {1500: 900, 1300: 900, 1200: 300, 2600: 400}):
+        solution = p.solve(histogram)
+        for k, n in histogram.items():
+            assert sum(x * pattern.get(k, 0) for x, pattern in solution.uses) >= n * (1 - 1e-9)
+        assert solution.bound <= solution.sequences + 1e-6
+    assert p.plan({2500: 1000, 1000: 1500}).sequences == 1125
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_sequences_come_from_the_program(times):
+    rng = np.random.default_rng(3)
+    lengths = np.clip(rng.lognormal(6.2, 1.1, 8_000).astype(int), 1, 4096)
+    histogram = {int(k): int(n) * times for k, n in zip(*np.unique(lengths, return_counts=True))}
+    plan = p.plan(histogram)
+    n = {x: sum(n for n, _ in getattr(plan, x)) for x in ("program", "residue")}
+    assert n["program"] > 0.9 * (n["program"] + n["residue"]) and plan.sequences <= 1.01 * plan.bound
+    rest = {k: v for k, v in histogram.items() if k < 4096}
+    assert plan.sequences - histogram.get(4096, 0) <= sum(n for n, _ in p.best_fit(rest))
 
 
 def expected_pieces(texts):

@@ -2,21 +2,25 @@
 
 A configuration is a multiset of piece lengths that fits a sequence.  The covering
 program - use the fewest configurations that hold each length as often as it occurs - is
-solved approximately by multiplicative weights: every length has a weight, a knapsack
-dynamic program prices the best configuration under them, and the lengths that it serves lose
-weight.  Rounding takes whole uses of each configuration as far as pieces are left;
-what rounding leaves is packed by best fit, again a configuration at a time.  All this
+solved approximately by multiplicative weights.  Every length has a price: its tokens times a weight.  A knapsack
+dynamic program over all lengths gives the best value of any configuration under these prices; a round covers each length once by
+configurations that are read off its table within a tolerance of that best, and lengths that were covered beyond their count lose weight.
+The average of the rounds, scaled by the least coverage, is the program's solution, and the prices over the best value are a
+bound below it.  Rounding takes whole uses of its configurations while their pieces last; the program is solved again for
+the residue, and what then is left is packed by best fit.  All this
 works on the histogram (at most ``capacity`` numbers), whatever the corpus holds; the rows
 then find their places by rank within their length, without meeting on one machine.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +31,13 @@ from pyspark.sql import functions as F
 from .common import materialise, per_worker, rows, utf8
 
 CAPACITY = 4096
-#: Rounds of multiplicative weights, and lengths that a pricing round looks at.
-ROUNDS = 300
-CANDIDATES = 96
+#: Rounds of multiplicative weights, their step, and how far below the best value a configuration may lie.
+ROUNDS = 12
+STEP = 1.0
+TOLERANCE = 0.001
+#: The program is solved again for a residue, so often at most and while rounding places this share of its tokens.
+RESIDUES = 12
+LEAST_SHARE = 0.05
 #: Chunks of text whose ids a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 500_000
 #: ASCII punctuation that joins neither a letter nor a digit before it (the apostrophe does).
@@ -39,56 +47,90 @@ TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # --- the program on the histogram ---------------------------------------------------
 
 
-def price(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: the configuration of the greatest total value.
+def price(values: np.ndarray) -> np.ndarray:
+    """Knapsack by dynamic programming: the best value of a configuration of at most c tokens, for each c.
 
-    Lengths may repeat; a length chosen more often than ``most`` allows is cut to that.
+    ``values`` holds the price of each length from 0 on, and less than none where there is no such length.
     """
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lens, vals = lengths[order], values[order]
-    ends = np.searchsorted(lens, np.arange(capacity + 1), side="right")
-    for c in range(int(lens[0]), capacity + 1):
-        k = ends[c]
-        got = best[c - lens[:k]] + vals[:k]
-        i = int(got.argmax())
-        if got[i] > best[c - 1]:
-            best[c], take[c] = got[i], i
-        else:
-            best[c] = best[c - 1]
-    chosen: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if take[c] < 0:
-            c -= 1
-            continue
-        length = int(lens[take[c]])
-        chosen[length] = chosen.get(length, 0) + 1
-        c -= length
-    limit = dict(zip(lengths.tolist(), most.tolist()))
-    return {k: min(n, limit[k]) for k, n in chosen.items() if limit[k] > 0}
-
-
-def solve_weights(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.7) -> list[tuple[float, dict[int, int]]]:
-    """(uses, configuration) of an approximate solution, most used first."""
-    covered = np.zeros(len(lengths))
-    at = {int(x): i for i, x in enumerate(lengths)}
+    best = np.zeros(len(values))
+    for c in range(1, len(values)):
+        best[c] = max(best[c - 1], (values[1 : c + 1] + best[c - 1 :: -1]).max())
+    return best
+
+
+def cover(counts: np.ndarray, values: np.ndarray, best: np.ndarray, tolerance: float = TOLERANCE) -> dict[tuple, float]:
+    """Uses of configurations that hold each length as often as it occurs: a round's answer to the prices.
+
+    A configuration starts with the longest length that is not yet covered, and goes on with lengths that keep it within the
+    tolerance of the best one that holds the first; those not yet covered come first, long before short.
+    """
+    left = counts.astype(float)
     uses: dict[tuple, float] = {}
-    spread = (np.arange(len(lengths)) * 0.6180339887498949) % 1  # equals are taken from all over the range
-    for _ in range(rounds):
-        # A length starts with the weight of its tokens, so a piece is worth its length times what is left of it.
-        left = np.exp(-step * covered / counts)
-        top = np.lexsort((spread, -left))[:CANDIDATES]
-        pattern = price(lengths[top], (left * lengths)[top], np.minimum(counts[top], capacity), capacity)
-        if not pattern:
+    slack = tolerance * best[-1]
+    for seed in range(len(counts) - 1, 0, -1):
+        while left[seed] > 1e-9:
+            pattern, room, lost = {seed: 1}, len(counts) - 1 - seed, 0.0
+            while room > 0:
+                # Never more of a length than there are pieces.
+                reach = values[1 : room + 1] + best[room - 1 :: -1]
+                for full in [k for k, a in pattern.items() if k <= room and a >= counts[k]]:
+                    reach[full - 1] = -np.inf
+                near = reach >= best[room] - (slack - lost)
+                at = np.flatnonzero(near & (left[1 : room + 1] > 1e-9))
+                if not len(at):
+                    at = np.flatnonzero(near) if best[room] > 0 else at
+                if not len(at):  # the best fill would take more than there is
+                    reach = np.where(left[1 : room + 1] > 1e-9, reach, -np.inf)
+                    at = np.flatnonzero(reach > -np.inf)[-1:]
+                if not len(at):
+                    break
+                k = int(at[-1]) + 1
+                lost += max(0.0, float(best[room] - reach[k - 1]))
+                pattern[k] = pattern.get(k, 0) + 1
+                room -= k
+            x = min(left[k] / a for k, a in pattern.items() if left[k] > 1e-9)
+            for k, a in pattern.items():
+                left[k] = max(0.0, left[k] - x * a)
+            key = tuple(sorted(pattern.items(), reverse=True))
+            uses[key] = uses.get(key, 0.0) + x
+    return uses
+
+
+@dataclass(frozen=True)
+class Solution:
+    """A fractional cover of the histogram: uses of configurations, and a bound below any cover."""
+
+    uses: list[tuple[float, dict[int, int]]]
+    bound: float
+
+    @property
+    def sequences(self) -> float:
+        return sum(x for x, _ in self.uses)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> Solution:
+    """The configuration program by multiplicative weights, most used configurations first."""
+    counts = np.zeros(capacity + 1)
+    for k, n in histogram.items():
+        counts[k] = n
+    there = counts > 0
+    covered, total, bound, done = np.zeros(capacity + 1), {}, 0.0, 0
+    while done < rounds:
+        excess = np.where(there, covered / np.maximum(counts, 1) - done, 0.0)
+        values = np.where(there, np.arange(capacity + 1) * np.exp(-step * excess), -np.inf)
+        best = price(values)
+        bound = max(bound, float((counts[there] * values[there]).sum() / best[-1]))
+        uses = cover(counts, values, best)
+        done += 1
+        for key, x in uses.items():
+            total[key] = total.get(key, 0.0) + x
+            for k, a in key:
+                covered[k] += x * a
+        if sum(uses.values()) <= bound * (1 + TOLERANCE):  # as good as it gets: this round alone
+            total, covered, done = uses, covered * 0 + counts, 1
             break
-        share = min(counts[at[k]] / n for k, n in pattern.items())
-        for k, n in pattern.items():
-            covered[at[k]] += share * n
-        key = tuple(sorted(pattern.items(), reverse=True))
-        uses[key] = uses.get(key, 0.0) + share
-    return sorted(((x, dict(k)) for k, x in uses.items()), key=lambda x: (-x[0], sorted(x[1].items())))
+    least = float((covered[there] / counts[there]).min()) if there.any() else 1.0
+    return Solution(sorted(((x / least, dict(key)) for key, x in total.items()), key=lambda x: (-x[0], sorted(x[1].items(), reverse=True))), bound)
 
 
 def _fill(rest: dict[int, int], live: np.ndarray, capacity: int) -> dict[int, int]:
@@ -108,55 +150,88 @@ def _fill(rest: dict[int, int], live: np.ndarray, capacity: int) -> dict[int, in
     return pattern
 
 
-def _tokens(pattern: dict[int, int]) -> int:
-    return sum(k * a for k, a in pattern.items())
+Configurations = list[tuple[int, dict[int, int]]]
 
 
-def _rounded(histogram: dict[int, int], solution: list[tuple[float, dict[int, int]]], least: int, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Whole uses of the solution's configurations of at least ``least`` tokens, and best fit for what they leave."""
-    rest = dict(histogram)
-    out: list[tuple[int, dict[int, int]]] = []
+def _take(rest: dict[int, int], n: int, pattern: dict[int, int], out: Configurations) -> None:
+    out.append((n, pattern))
+    for k, a in pattern.items():
+        rest[k] -= n * a
+        if not rest[k]:
+            del rest[k]
 
-    def use(n: int, pattern: dict[int, int]) -> None:
-        out.append((n, pattern))
-        for k, a in pattern.items():
-            rest[k] -= n * a
-            if not rest[k]:
-                del rest[k]
 
-    for x, pattern in solution:
-        if _tokens(pattern) < least:
-            continue
-        n = int(min([x, *(rest.get(k, 0) // a for k, a in pattern.items())]))
+def rounded(rest: dict[int, int], solution: Solution) -> Configurations:
+    """Whole uses of the solution's configurations, rounded up while their pieces last; ``rest`` loses them."""
+    out: Configurations = []
+    for x, pattern in solution.uses:
+        n = min(math.ceil(x - 1e-9), *(rest.get(k, 0) // a for k, a in pattern.items()))
         if n > 0:
-            use(n, pattern)
+            _take(rest, n, pattern, out)
+    return out
+
+
+def best_fit(rest: dict[int, int], capacity: int = CAPACITY) -> Configurations:
+    """Best fit, longest pieces first, a configuration at a time; ``rest`` is used up."""
+    out: Configurations = []
     while rest:
-        live = np.array(sorted(rest), np.int64)
-        pattern = _fill(rest, live, capacity)
-        use(max(1, min(rest[k] // a for k, a in pattern.items())), pattern)
+        pattern = _fill(rest, np.array(sorted(rest), np.int64), capacity)
+        _take(rest, max(1, min(rest[k] // a for k, a in pattern.items())), pattern, out)
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, configuration): together they hold every piece exactly once.
+@dataclass(frozen=True)
+class Plan:
+    """Configurations by where they come from; together they hold every piece exactly once."""
+
+    whole: Configurations
+    program: Configurations
+    residue: Configurations
+    bound: int
 
-    The solution is rounded by its full configurations alone, by those about as full as its fullest, by all
-    of them, by all with the fullest first and as often as pieces last, and by none (best fit); the plan of the
-    fewest sequences is taken.  The list's length depends on the number of distinct lengths, not of pieces.
+    @property
+    def all(self) -> Configurations:
+        return self.whole + self.program + self.residue
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for n, _ in self.all)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
+    """The program's configurations, rounded, for the histogram and then for each residue, and best fit for the last one.
+
+    Pieces of the full capacity need no packing.  ``bound`` is below the sequences of any packing.  Only if best fit alone
+    needs fewer sequences, its plan is taken.  The plan's size depends on the number of distinct lengths, not of pieces.
     """
     rest = {int(k): int(n) for k, n in histogram.items() if n > 0}
     if any(not 0 < k <= capacity for k in rest):
         raise ValueError("lengths lie between 1 and the capacity")
     whole = [(rest.pop(capacity), {capacity: 1})] if capacity in rest else []
+    n_whole = sum(n for n, _ in whole)
     if not rest:
-        return whole
-    lengths = np.array(sorted(rest), np.int64)
-    counts = np.array([rest[int(k)] for k in lengths], np.float64)
-    solution = solve_weights(lengths, counts, capacity, rounds)
-    by_fill = [(float("inf"), pattern) for _, pattern in sorted(solution, key=lambda x: -_tokens(x[1]))]
-    limits = dict.fromkeys((capacity - 1, max((_tokens(pattern) for _, pattern in solution), default=0) - 1, 0, capacity + 1))
-    plans = [_rounded(rest, solution, least, capacity) for least in limits] + [_rounded(rest, by_fill, 0, capacity)]
-    return whole + min(plans, key=lambda x: sum(n for n, _ in x))
+        return Plan(whole, [], [], n_whole)
+    alone = best_fit(dict(rest), capacity)
+    program: Configurations = []
+    bound = 0.0
+    for _ in range(RESIDUES):
+        before = _volume(rest)
+        if not before:
+            break
+        solution = solve(rest, capacity, rounds if not program else 1)
+        bound = bound or solution.bound
+        program += rounded(rest, solution)
+        if _volume(rest) > (1 - LEAST_SHARE) * before:
+            break
+    residue = best_fit(rest, capacity)
+    bound = n_whole + math.ceil(bound - 1e-6)
+    if sum(n for n, _ in alone) < sum(n for n, _ in program + residue):
+        return Plan(whole, [], alone, bound)
+    return Plan(whole, program, residue, bound)
+
+
+def _volume(rest: dict[int, int]) -> int:
+    return sum(k * n for k, n in rest.items())
 
 
 def runs(configurations: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, int, int]]:
@@ -273,7 +348,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1, ca
     by_task = pieces.groupBy("__task", "length").agg(F.count("*").alias("n"))
     before = by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    where = runs(plan(histogram, capacity, rounds))
+    where = runs(plan(histogram, capacity, rounds).all)
     columns = [np.array(x, np.int64) for x in zip(*where)] or [np.zeros(0, np.int64)] * 5
     shift = 45
 
