@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, licenses, neardup, packing, quality, sharding, tokens, toolcalls, toxicity, warc
 from .common import table
@@ -10,7 +11,7 @@ from .common import table
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.calls_of_conversations(table(spark, sf_dir, "conversations"))
-    return toolcalls.link(calls, results, toolcalls.REPLY)
+    return toolcalls.link(calls, results, toolcalls.TOOLS).withColumn("errors", F.array_join("errors", ";"))
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,50 @@ QUERIES = {f.__name__: f for f in (op1_tool_calls, op2_warc_revisits, op3_distri
 WORDS = r"""list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"""
 
 ORACLE_SQL = {
+    "op1_tool_calls": r"""
+WITH RECURSIVE
+rows_ AS (SELECT conv_id, turn, role, text, conv_id + turn AS k FROM conversations),
+calls AS (
+  SELECT conv_id, turn, CASE WHEN k % 11 = 3 THEN NULL WHEN k % 13 = 5 AND turn >= 1 THEN 'call-' || (turn - 1) ELSE 'call-' || turn END AS call_id,
+         CASE WHEN k % 17 = 12 THEN 'other' WHEN role = 'user' THEN 'ask' WHEN role = 'assistant' THEN 'answer' ELSE 'configure' END AS name,
+         CASE WHEN k % 17 = 2 THEN '"{\"text\":"' WHEN k % 17 = 14 THEN 'null' ELSE '{' || concat_ws(',', '"n_chars":' || length(text), CASE WHEN k % 17 <> 9 THEN '"text":' || to_json(text) END, CASE WHEN k % 17 = 5 THEN '"turn":"' || turn || '"' ELSE '"turn":' || turn END) || '}' END AS arguments,
+         list_filter([CASE WHEN k % 5 = 1 THEN 'call-' || (turn + 2) END, CASE WHEN k % 5 = 2 THEN 'call-' || (turn - 1) END, CASE WHEN k % 5 = 4 THEN 'call-' || (turn - 1) END, CASE WHEN k % 25 = 3 THEN 'call-' || (turn - 2) END, CASE WHEN k % 7 = 0 THEN 'call-' || (turn + 1000) END], lambda x: x IS NOT NULL) AS depends_on,
+         CASE WHEN k % 17 IN (2, 14) THEN 'broken JSON' WHEN k % 17 = 12 THEN 'unknown tool'
+              ELSE concat_ws(';', CASE WHEN text IS NULL OR k % 17 = 9 THEN '$.text: required' END, CASE WHEN text = '' THEN '$.n_chars: minimum' END, CASE WHEN text = '' AND k % 17 <> 9 THEN '$.text: minLength' END, CASE WHEN k % 17 = 5 THEN '$.turn: type' END) END AS errors
+  FROM rows_),
+results AS (SELECT conv_id, turn, CASE WHEN k % 19 = 4 THEN NULL WHEN k % 19 = 8 THEN 'call-' || (turn + 500) WHEN k % 23 = 6 THEN 'call-' || (turn - 2) ELSE 'call-' || (turn - 1) END AS call_id, text AS content FROM rows_),
+call_forms AS (SELECT *, count(*) AS times FROM calls WHERE call_id IS NOT NULL GROUP BY ALL),
+call_ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name NULLS FIRST, arguments NULLS FIRST, depends_on) AS form, sum(times) OVER (PARTITION BY conv_id, call_id) AS n FROM call_forms),
+result_forms AS (SELECT *, count(*) AS times FROM results WHERE call_id IS NOT NULL GROUP BY ALL),
+result_ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, content NULLS FIRST) AS form, sum(times) OVER (PARTITION BY conv_id, call_id) AS n FROM result_forms),
+first_call AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, call_id) - 1 AS place FROM call_ranked WHERE form = 1),
+first_result AS (SELECT * FROM result_ranked WHERE form = 1),
+needs AS (SELECT DISTINCT conv_id, place AS p, call_id, unnest(depends_on) AS need FROM first_call),
+edges AS (SELECT DISTINCT n.conv_id, n.p, f.place AS q FROM needs n JOIN first_call f ON f.conv_id = n.conv_id AND f.call_id = n.need),
+dangling AS (SELECT n.conv_id, n.call_id, count(*) AS n_dangling FROM needs n ANTI JOIN first_call f ON f.conv_id = n.conv_id AND f.call_id = n.need GROUP BY ALL),
+reach AS (SELECT conv_id, p AS a, q AS b FROM edges UNION SELECT r.conv_id, r.a, e.q FROM reach r JOIN edges e ON e.conv_id = r.conv_id AND e.p = r.b),
+on_cycle AS (SELECT conv_id, a FROM reach WHERE a = b),
+kept AS (SELECT e.* FROM edges e ANTI JOIN reach r ON r.conv_id = e.conv_id AND r.a = e.q AND r.b = e.p WHERE e.p <> e.q),
+waits AS (SELECT conv_id, p AS a, q AS b FROM kept UNION SELECT w.conv_id, w.a, e.q FROM waits w JOIN kept e ON e.conv_id = w.conv_id AND e.p = w.b),
+closure AS (SELECT * FROM waits UNION SELECT conv_id, place, place FROM first_call),
+latest AS (SELECT conv_id, a, max(b) AS r FROM closure GROUP BY ALL),
+keys AS (SELECT c.conv_id, c.a, any_value(l.r) AS r, list(c.b ORDER BY c.b DESC) AS own FROM closure c JOIN latest l ON l.conv_id = c.conv_id AND l.a = c.a JOIN latest m ON m.conv_id = c.conv_id AND m.a = c.b AND m.r = l.r GROUP BY c.conv_id, c.a),
+ordered AS (SELECT conv_id, a, row_number() OVER (PARTITION BY conv_id ORDER BY r, own) - 1 AS topo FROM keys),
+linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, c.name,
+         CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN y.a IS NOT NULL THEN 'cycle' WHEN r.call_id IS NOT NULL THEN 'linked' ELSE 'unanswered' END AS status,
+         o.topo, coalesce(c.n, 0) AS n_calls, coalesce(r.n, 0) AS n_results, coalesce(d.n_dangling, 0) AS n_dangling, c.errors, c.arguments, r.content
+  FROM first_call c FULL JOIN first_result r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+  LEFT JOIN ordered o ON o.conv_id = c.conv_id AND o.a = c.place LEFT JOIN (SELECT DISTINCT * FROM on_cycle) y ON y.conv_id = c.conv_id AND y.a = c.place
+  LEFT JOIN dangling d ON d.conv_id = c.conv_id AND d.call_id = c.call_id
+  UNION ALL SELECT conv_id, NULL, turn, name, 'no_identifier', NULL, 1, 0, 0, errors, arguments, NULL FROM calls WHERE call_id IS NULL
+  UNION ALL SELECT conv_id, NULL, turn, NULL, 'no_identifier', NULL, 0, 1, 0, NULL, NULL, content FROM results WHERE call_id IS NULL
+  UNION ALL SELECT conv_id, call_id, turn, name, 'repeated_call', NULL, times, 0, 0, errors, arguments, NULL FROM call_ranked WHERE form > 1
+  UNION ALL SELECT conv_id, call_id, turn, NULL, 'repeated_result', NULL, 0, times, 0, NULL, NULL, content FROM result_ranked WHERE form > 1)
+SELECT conv_id, call_id, turn, name, status, topo, CAST(n_calls AS BIGINT) AS n_calls, CAST(n_results AS BIGINT) AS n_results, CAST(n_dangling AS BIGINT) AS n_dangling,
+       n_calls > 0 AND errors = '' AS valid, coalesce(errors, '') AS errors,
+       '{' || concat_ws(',', CASE WHEN n_calls > 0 THEN '"arguments":' || arguments END, '"id":' || coalesce(to_json(call_id), 'null'), CASE WHEN n_calls > 0 THEN '"name":"' || name || '"' END, CASE WHEN n_results > 0 THEN '"result":' || coalesce(to_json(content), 'null') END) || '}' AS json
+FROM linked""",
     "op2_warc_revisits": r"""
 WITH parts AS (
   SELECT page_id, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, '')) AS size,
