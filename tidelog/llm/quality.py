@@ -2,7 +2,8 @@
 
 Two histograms of each document - of character classes and of common words - are held
 against those of its language by the Jensen-Shannon distance.  The references are
-counts over all documents; a text that is too short for a histogram is not judged by it.
+counts over all documents, less the document's own; a text that is too short for a histogram is not judged by it.  A language
+of few documents or words is no reference: its documents are held against the nearest one that is.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SPACE = [9, 10, 11, 12, 13, 32]
 SYMBOLS = list(b"#*$%&|<>")
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punctuation", "control", "beyond_ascii")
 UNKNOWN = "und"
+#: Numbers of a language beside its words: classes, words, documents.
+TOTALS = len(CLASSES) + 2
 
 
 def _class_of(byte: int) -> int:
@@ -48,10 +51,28 @@ class Rules:
     max_repeat_percent: int = 50
     common_words: int = 48
     max_class_distance: float = 0.30
-    max_word_distance: float = 0.385
+    max_word_distance: float = 0.36
+    #: The fewer words, the further a text strays from its language by chance: the limit grows by this over their number.
+    short_text: float = 2.5
     #: A text with fewer code points isn't judged by classes, with fewer words by words.
     min_chars: int = 200
-    min_common: int = 100
+    min_common: int = 50
+    #: A language of fewer documents or words is no reference.
+    min_documents: int = 30
+    min_reference_words: int = 3000
+
+
+@dataclass(frozen=True)
+class Reference:
+    """A language's counts: character classes, its most common words, all words, documents."""
+
+    classes: list[float]
+    words: dict[bytes, float]
+    total: float
+    documents: float
+
+    def supported(self, rules: Rules) -> bool:
+        return self.documents >= rules.min_documents and self.total >= rules.min_reference_words
 
 
 def language(column: str = "lang") -> F.Column:
@@ -108,8 +129,8 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[float], dict[bytes, float], float]]:
-    """For each language: class counts, counts of its most common words, all its words.
+def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, Reference]:
+    """For each language with enough documents and words: its counts.  Null and unknown languages make no reference.
 
     A mark that stands alone often enough is a word too: texts that are full of it then stand out.
     Counts cover every whole text.  Each task counts by itself, in one pass (class and word totals
@@ -119,7 +140,7 @@ def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tu
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_class, ids, sums, chars = _byte_classes(), WordIds(), {}, {}
+        to_class, ids, sums, chars, texts = _byte_classes(), WordIds(), {}, {}, Counter()
 
         def flush() -> pa.RecordBatch:
             names = list(ids)
@@ -130,16 +151,17 @@ def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tu
                 word += [names[i] for i in at]
                 n += total[at].tolist()
             for k, total in chars.items():
-                lang += [k] * (len(CLASSES) + 1)
-                word += [b" %d" % i for i in range(len(CLASSES) + 1)]
-                n += [*(total @ to_class).tolist(), int(sums[k].sum())]
-            ids.clear(), sums.clear(), chars.clear()
+                lang += [k] * TOTALS
+                word += [b" %d" % i for i in range(TOTALS)]
+                n += [*(total @ to_class).tolist(), int(sums[k].sum()), texts[k]]
+            ids.clear(), sums.clear(), chars.clear(), texts.clear()
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
         for batch in rows(batches):
             spoken: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spoken.setdefault(lang, []).extend(text.translate(LOWER).split())
+                texts[lang] += 1
                 chars[lang] = chars.get(lang, 0) + np.bincount(np.frombuffer(text, np.uint8), minlength=256)
             for lang, words in spoken.items():
                 found = np.bincount(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)), minlength=1)
@@ -152,34 +174,33 @@ def fit_references(documents: DataFrame, rules: Rules = Rules()) -> dict[str, tu
                 yield flush()
         yield flush()
 
-    counts = documents.select(language().alias("lang"), utf8().alias("text")).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = documents.select(language().alias("lang"), utf8().alias("text")).where(F.col("lang") != UNKNOWN).mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = counts.withColumns({"kind": F.when(F.substring("word", 1, 1) == F.lit(b" "), 1).otherwise(0), "salt": F.pmod(F.hash("word"), F.lit(64))})
-    most = F.when(F.col("kind") == 1, len(CLASSES) + 1).otherwise(rules.common_words)
+    most = F.when(F.col("kind") == 1, TOTALS).otherwise(rules.common_words)
     by_task = Window.partitionBy("lang", "kind", "salt").orderBy(F.desc("n"), "word")
     near = counts.withColumn("place", F.row_number().over(by_task)).where(F.col("place") <= most)
     top = near.withColumn("place", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))).where(F.col("place") <= most)
-    references: dict = {}
+    found: dict = {}
     for row in top.collect():
-        classes, words = references.setdefault(row["lang"], ([0.0] * (len(CLASSES) + 1), {}))
+        totals, words = found.setdefault(row["lang"], ([0.0] * TOTALS, {}))
         word = bytes(row["word"])
         if row["kind"]:
-            classes[int(word[1:])] = float(row["n"])
+            totals[int(word[1:])] = float(row["n"])
         else:
             words[word] = float(row["n"])
-    return {lang: (classes[:-1], words, classes[-1]) for lang, (classes, words) in references.items()}
+    references = {lang: Reference(totals[:-2], words, *totals[-2:]) for lang, (totals, words) in found.items()}
+    return {lang: r for lang, r in references.items() if r.supported(rules)}
 
 
-def _judge(references: dict, rules: Rules):
-    """text bytes, language -> the columns of ``score``."""
+def _judge(references: dict[str, Reference], rules: Rules, own: bool = True):
+    """text bytes, language -> the columns of ``score``.  ``own``: the references hold the texts that are judged."""
     to_class, ids = _byte_classes(), WordIds()
     space = np.zeros(256, bool)
     space[SPACE] = True
     symbol = np.zeros(256, bool)
     symbol[SYMBOLS] = True
     lead = np.array([not 0x80 <= b < 0xC0 for b in range(256)])
-    ready = {}
-    for lang, (classes, words, total) in references.items():
-        ready[lang] = (np.array(classes), list(words), np.array([max(0.0, total - sum(words.values())), *words.values()]))
+    ready = {lang: (np.array(r.classes), list(r.words), np.array([max(0.0, r.total - sum(r.words.values())), *r.words.values()])) for lang, r in references.items()}
     every = list(ready)
 
     def judge(text: bytes, lang: str) -> tuple:
@@ -195,16 +216,18 @@ def _judge(references: dict, rules: Rules):
         classes = at @ to_class
         n_chars = int(classes.sum())
         class_distance = word_distance = None
-        names = [lang] if lang in ready and lang != UNKNOWN else every
+        # A text of a known language is part of that language's counts, and leaves them for the comparison.
+        names, mine = ([lang], own) if lang in ready else (every, False)
         if n_chars >= rules.min_chars and names:
-            class_distance = min(js_distance(classes.astype(float), ready[x][0]) for x in names)
+            class_distance = min(js_distance(classes.astype(float), np.maximum(0.0, ready[x][0] - mine * classes)) for x in names)
         if n >= rules.min_common and names:
             said = Counter(text.translate(LOWER).split())
             word_distance = 1.0
             for x in names:
                 common = [said[w] for w in ready[x][1]]
-                word_distance = min(word_distance, js_distance(np.array([n - sum(common), *common], float), ready[x][2]))
-        far = (class_distance is not None and class_distance > rules.max_class_distance) or (word_distance is not None and word_distance > rules.max_word_distance)
+                counts = np.array([n - sum(common), *common], float)
+                word_distance = min(word_distance, js_distance(counts, np.maximum(0.0, ready[x][2] - mine * counts)))
+        far = (class_distance is not None and class_distance > rules.max_class_distance) or (word_distance is not None and word_distance > rules.max_word_distance + rules.short_text / n)
         return n, int(at[lead & ~space].sum()), int(at[symbol].sum()), len(lines) - len(set(lines)), n_repeat, failed, not failed and not far, class_distance, word_distance
 
     return judge
@@ -213,18 +236,18 @@ def _judge(references: dict, rules: Rules):
 SCORE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def score(documents: DataFrame, references: dict, rules: Rules = Rules()) -> DataFrame:
+def score(documents: DataFrame, references: dict[str, Reference], rules: Rules = Rules(), own: bool = True) -> DataFrame:
     """Counts, distances and verdict for each document; a map without a shuffle.
 
     Words are runs without ASCII white space.  Null and empty texts have no words and
     fail the base rule.  A distance is null where its guard on length says that the text is too
-    short, and then does not count against it.  A null or unknown language is held against
-    the nearest reference, an empty table of references against none.  Repeated rows
-    get a row each; only ``doc_id``, ``lang`` and ``text`` are read.
+    short, or there is no reference, and then does not count against it.  A language without a reference is held against
+    the nearest one.  ``own`` says that the references were counted from these documents: each leaves its language's counts when it is compared.
+    Repeated rows get a row each; only ``doc_id``, ``lang`` and ``text`` are read.
     """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _judge(references, rules)
+        judge = _judge(references, rules, own)
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         for batch in rows(batches):
             found = list(zip(*(judge(t, x) for t, x in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist()))))

@@ -20,7 +20,8 @@ def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return quality.score(documents, quality.fit_references(documents))
+    scored = quality.score(documents, quality.fit_references(documents))
+    return scored.withColumns({x: F.round(x, 6) for x in ("class_distance", "word_distance")})
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +125,37 @@ SELECT record_id, canonical_url, ts, resolved_id, resolved_ts,
        CASE WHEN resolved_id IS NULL THEN 'no_earlier_response' WHEN tag = old_tag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
        CASE WHEN tag = old_tag THEN '{"content-length":"' || size || '","content-type":"text/html","date":"' || ts || '","etag":"' || tag || '"}' END AS headers_json
 FROM joined WHERE place = 1""",
+    "op3_distribution_divergence": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE code WHEN '' THEN 'und' ELSE lower(code) END AS lang FROM (SELECT *, regexp_extract(coalesce(lang, ''), '^([A-Za-z]{2,3})(?:[^A-Za-z]|$)', 1) AS code FROM documents)),
+w AS (SELECT doc_id, lang, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+windows AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+often AS (SELECT doc_id, a, b, c FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM windows SEMI JOIN often USING (doc_id, a, b, c)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT doc_id, lang, length(t) AS n_chars, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lo, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS up, length(regexp_replace(t, '[^0-9]', '', 'g')) AS di, length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS sp,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS sy, length(regexp_replace(t, '[^\x00-\x08\x0E-\x1F\x7F]', '', 'g')) AS co, length(regexp_replace(t, '[\x00-\x7F]', '', 'g')) AS be FROM d),
+cls AS (SELECT doc_id, lang, unnest(range(8)) AS idx, unnest([lo, up, di, sp, sy, n_chars - lo - up - di - sp - sy - co - be, co, be]) AS n FROM c),
+said AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM w) GROUP BY ALL),
+ref AS (SELECT lang, count(*) AS docs, sum(len(w)) AS total FROM w WHERE lang <> 'und' GROUP BY lang HAVING count(*) >= 30 AND sum(len(w)) >= 3000),
+ref_cls AS (SELECT lang, idx, sum(n) AS n FROM cls SEMI JOIN ref USING (lang) GROUP BY ALL),
+top AS (SELECT lang, word, n FROM (SELECT lang, word, sum(n) AS n, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, word) AS place FROM said SEMI JOIN ref USING (lang) GROUP BY lang, word) WHERE place <= 48),
+top_sum AS (SELECT lang, sum(n) AS n FROM top GROUP BY lang),
+pairs AS (SELECT w.doc_id, len(w.w) AS n_words, r.lang AS rlang, CASE WHEN w.lang = r.lang THEN 1 ELSE 0 END AS own, r.total FROM w JOIN ref r ON w.lang = r.lang OR w.lang NOT IN (SELECT lang FROM ref)),
+common AS (SELECT p.doc_id, p.rlang, p.own, p.n_words, p.total, t.word, coalesce(s.n, 0) AS p, t.n AS q FROM pairs p JOIN top t ON t.lang = p.rlang LEFT JOIN said s ON s.doc_id = p.doc_id AND s.word = t.word),
+rest AS (SELECT doc_id, rlang, any_value(own) AS own, any_value(n_words) - sum(p) AS p, greatest(0, any_value(total) - sum(q)) AS q FROM common GROUP BY ALL),
+hist AS (
+  SELECT p.doc_id, rlang, 'c' AS kind, CAST(c.n AS DOUBLE) AS p, CAST(greatest(0, r.n - own * c.n) AS DOUBLE) AS q FROM pairs p JOIN cls c USING (doc_id) JOIN ref_cls r ON r.lang = p.rlang AND r.idx = c.idx
+  UNION ALL SELECT doc_id, rlang, 'w', p, greatest(0, q - own * p) FROM common UNION ALL SELECT doc_id, rlang, 'w', p, greatest(0, q - own * p) FROM rest),
+shares AS (SELECT doc_id, rlang, kind, p / nullif(sum(p) OVER x, 0) AS p, q / nullif(sum(q) OVER x, 0) AS q FROM hist WINDOW x AS (PARTITION BY doc_id, rlang, kind)),
+js AS (SELECT doc_id, rlang, kind, coalesce(sqrt(greatest(0, sum(0.5 * (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) FILTER (p IS NOT NULL AND q IS NOT NULL))), 0) AS dist FROM shares GROUP BY ALL),
+near AS (SELECT doc_id, min(dist) FILTER (kind = 'c') AS cd, least(1, min(dist) FILTER (kind = 'w')) AS wd FROM js GROUP BY doc_id),
+base AS (
+  SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(c.n_chars - c.sp AS BIGINT) AS word_chars, CAST(c.sy AS BIGINT) AS n_symbols, CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         CASE WHEN c.n_chars >= 200 THEN n.cd END AS cd, CASE WHEN len(w.w) >= 50 THEN n.wd END AS wd
+  FROM w JOIN c USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN near n USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(cd, 0) <= 0.30 AND coalesce(wd, 0) <= 0.36 + 2.5 / greatest(n_words, 1) AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+FROM base""",
     "op8_decontamination": rf"""
 WITH words AS (SELECT doc_id, {WORDS} AS w FROM documents),
 items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
