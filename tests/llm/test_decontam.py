@@ -51,10 +51,40 @@ def test_query_equals_sql(spark):
 
 
 def test_search_finds_overlaps():
-    words = "a a a b a a".split()
-    tables = d.build_tables({("a", "a"): [1], ("a",): [2], ("a", "b", "a"): [3]})
-    got = sorted((i, p) for i, p in d.search(words, tables))
-    assert got == sorted([(i, p) for p in (("a", "a"), ("a",), ("a", "b", "a")) for i in range(6) if tuple(words[i : i + len(p)]) == p])
+    words = "a a a b a a".encode().split()
+    tables = d.build_tables([(1, b"a a"), (2, b"a"), (3, b"a b a"), (4, b"a a"), (5, b"a z b")])
+    got = sorted((i, tables.items_of(end)) for i, length, end in d.search(words, tables))
+    patterns = {1: b"a a", 2: b"a", 3: b"a b a", 4: b"a a"}
+    assert got == sorted((i, k) for k, p in patterns.items() for i in range(6) if words[i : i + len(p.split())] == p.split())
+
+
+def test_search_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        some = lambda n: " ".join(rng.choices("abcd", k=n)).encode()
+        items = [(i, some(rng.randrange(9))) for i in range(6)]
+        window = rng.choice([1, 2, 3, 5])
+        tables = d.build_tables(items, window)
+        words = some(rng.randrange(40)).split()
+        got = {(i, n, tables.items_of(end)) for i, n, end in d.search(words, tables)}
+        assert got == {(i, len(w), item) for item, text in items for w in d.item_windows(text, window) for i in range(len(words)) if tuple(words[i : i + len(w)]) == w}
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    documents = spark.createDataFrame([("x", "A b c", 1), (None, "b", 2)], "doc_id string, text string, __items int")
+    items = spark.createDataFrame([("b-1", "a B"), ("b-0", "b c")], "item_id string, text string")
+    out = {r["doc_id"]: r for r in d.contamination(documents, items).collect()}
+    assert out["x"]["n_hit"] == 3 and out["x"]["items_sha256"] == hashlib.sha256(b"b-0,b-1").hexdigest() and not out[None]["contaminated"]
+    assert d.drop_contaminated(documents, items).collect() == [(None, "b", 2)]
+
+
+def test_a_large_benchmark_stays_small():
+    """Ten bytes and more a word would be the words' own; the tables take about 25 a word."""
+    rng = random.Random(1)
+    vocabulary = [b"w%d" % i for i in range(20_000)]
+    tables = d.build_tables([(i, b" ".join(rng.choices(vocabulary, k=2_000))) for i in range(100)])
+    size = len(tables.words) * 4 + sum(len(g.shift) + 16 * len(g.keys) for g in tables.groups)
+    assert len(tables.words) == 200_000 and size <= 32 * 200_000
 
 
 def test_awkward(spark, awkward, nothing):
