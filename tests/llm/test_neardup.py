@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import neardup as n
 from tidelog.llm.queries import QUERIES
@@ -100,13 +101,44 @@ def test_families_around_the_threshold(spark):
     assert got == brute_classes(texts)
 
 
+def test_texts_of_large_buckets_are_signed_again(spark, monkeypatch):
+    seen = []
+    fine = n.fine_keys
+    monkeypatch.setattr(n, "fine_keys", lambda sets: seen.append(sets.count()) or fine(sets))
+    rng = random.Random(17)
+    texts = list(enumerate(t for _ in range(3) for t in family(rng, 16, 100, 14)))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in n.classes(frame, large=3).collect()} == brute_classes(texts) and seen and seen[0] > 6
+
+
+def test_recall_against_all_pairs(spark):
+    """Links by either similarity, probability Jaccard too, of all texts of sf0.01 that share a shingle."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    sets = [packed(t) for _, t in rows]
+    holders = {}
+    for i, p in enumerate(sets):
+        for x in np.frombuffer(p, np.int64).reshape(2, -1)[0].tolist():
+            holders.setdefault(x, []).append(i)
+    pairs = {pair for own in holders.values() if len(own) > 1 for pair in combinations(own, 2)}
+    links = [(rows[i][0], rows[j][0]) for i, j in pairs if max(n.similarity(sets[i], sets[j])) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in QUERIES["op9_near_duplicates"](spark, sf).collect()}
+    assert len(links) > 30 and all(got[a] == got[b] for a, b in links)
+
+
+def test_a_hot_key_is_dealt_by_salt(spark):
+    rows = spark.range(4000).select(F.lit(7).cast("long").alias("key"), F.unhex(F.md5(F.col("id").cast("string"))).alias("node"))
+    out = n.buckets_of(rows)
+    assert out.count() == 4000 and out.select("leader").distinct().count() == 1 and out.select("salt").distinct().count() > 900
+
+
 @pytest.mark.parametrize("members", [3, 1024])
 def test_blocks_lose_no_link(spark, monkeypatch, members):
     monkeypatch.setattr(n, "BLOCK_MEMBERS", members)
     rng = random.Random(9)
     texts = family(rng, 14, 60, 7)
     rows = [(1, f"{i:032x}", f"{i:032x}", packed(t)) for i, t in enumerate(texts)]
-    frame = spark.createDataFrame([(k, bytes.fromhex(a), bytes.fromhex(b)) for k, a, b, _ in rows], "key long, node binary, root binary")
+    frame = spark.createDataFrame([(k, bytes.fromhex(a), bytes.fromhex(b)) for k, a, b, _ in rows], "key long, node binary, root binary").transform(n.salted)
     sets = spark.createDataFrame([(bytes.fromhex(a), p) for _, a, _, p in rows], "node binary, packed binary")
     links = [(i, j) for i, j in combinations(range(len(texts)), 2) if max(n.similarity(rows[i][3], rows[j][3])) >= 0.8]
     got = [(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in n.across(frame, sets).collect()]

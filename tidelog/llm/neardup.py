@@ -10,10 +10,11 @@ with the probability of their probability Jaccard similarity.
 A text with repeated shingles is signed a second time with all weights 1, whose registers agree with the
 probability of plain Jaccard.  Without repeats both signatures are one, so texts of either kind
 meet.  Equal bands, of either signature, make candidates.  Members of a bucket are verified against its least member first,
-which joins most groups with one pair a member.  Only where a bucket then still holds
-several classes are its members compared further, block by block, by products of their
-shingle matrices; what comes out is which classes are joined.  So no link among
-candidates is lost, and no group emits its pairs.
+which joins most groups with one pair a member.  Where a bucket then still holds
+several classes, its members are compared further: a bucket of at most one block by a product of their
+shingle matrices; the texts of larger ones are signed again, with more registers and longer bands that part what
+is not alike, and only buckets that are then still large are compared block by block.  What comes out is which classes are joined, so
+no group emits its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ALNUM, fresh, materialise, own, per_worker, rows
@@ -32,6 +33,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: Texts of probability or plain Jaccard 0.8 share no band with a probability of (1 - 0.8 ** 4) ** 24, about 3e-6.
 BANDS, ROWS = 24, 4
+#: For texts of large buckets: they share no band with a probability of (1 - 0.8 ** 8) ** 64, about 8e-6.
+FINE_BANDS, FINE_ROWS = 64, 8
+#: A key's rows are dealt into so many parts wherever they meet.
+SALTS = 1024
 REMEMBERED = 300_000
 #: Words handled at once.
 CHUNK_WORDS = 400_000
@@ -263,16 +268,45 @@ def class_links(first: list[tuple[bytes, bytes, bytes]], second: list[tuple[byte
     return [(bytes.fromhex(str(names[a])), bytes.fromhex(str(names[b]))) for a, b in sorted(out)]
 
 
+def _keyed(rows_: DataFrame, *sums) -> DataFrame:
+    """``key, salt`` and, for each of them, the key's totals of ``sums``: a hot key's rows never meet in one task.
+
+    Each sum is (name, partial aggregate, how parts are put together).  Parts are aggregated first, so a key brings at most ``SALTS`` rows.
+    """
+    parts = rows_.groupBy("key", "salt").agg(*(part.alias(name) for name, part, _ in sums))
+    every = Window.partitionBy("key")
+    return parts.select("key", "salt", *(put(name).over(every).alias(name) for name, _, put in sums))
+
+
+def salted(rows_: DataFrame) -> DataFrame:
+    return rows_.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+
+def buckets_of(spread: DataFrame) -> DataFrame:
+    """``key, salt, leader, node`` for keys of two texts or more; the leader is the least."""
+    spread = salted(spread)
+    tops = _keyed(spread, ("leader", F.min("node"), F.min), ("most", F.max("node"), F.max)).where("leader != most").select("key", "salt", "leader")
+    return materialise(spread.join(tops, ["key", "salt"]).select("key", "salt", "leader", "node"))
+
+
+def still_open(buckets: DataFrame, state: DataFrame) -> DataFrame:
+    """``key, salt, node, root, n``: members of buckets of three or more that hold several classes."""
+    labelled = buckets.join(state, "node", "left").select("key", "salt", "node", F.coalesce("root", "node").alias("root"))
+    found = _keyed(labelled, ("least", F.min("root"), F.min), ("most", F.max("root"), F.max), ("n", F.count("*"), F.sum)).where("least != most and n > 2").select("key", "salt", "n")
+    return materialise(labelled.join(found, ["key", "salt"]))
+
+
 def across(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Classes ``a, b`` that meet in a bucket and are joined there; members are ``key, node, root``.
+    """Classes ``a, b`` that meet in a bucket and are joined there; members are ``key, salt, node, root``.
 
     A bucket is one group of at most ``BLOCK_MEMBERS`` texts and ``BLOCK_BYTES``; a larger one is dealt into blocks
     that are compared two at a time, so a task's memory doesn't grow with the bucket.
     No pair of members is emitted, only each joined class with the least it is joined to.
     """
     full = members.join(sets, "node")
-    blocks = full.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum(F.octet_length("packed")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = full.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = _keyed(full, ("n", F.count("*"), F.sum), ("bytes", F.sum(F.octet_length("packed")), F.sum))
+    blocks = sizes.select("key", "salt", F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = full.join(blocks, ["key", "salt"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "node", "root", "packed")
 
@@ -286,6 +320,20 @@ def across(members: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return paired.groupBy("key", "low", "high").applyInArrow(link, "a binary, b binary").distinct()
 
 
+def fine_keys(sets: DataFrame, bands: int = FINE_BANDS, per_band: int = FINE_ROWS) -> DataFrame:
+    """``node, key`` of packed texts by longer bands of more registers."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 256):
+            texts = [np.frombuffer(p, np.int64).reshape(2, -1) for p in batch.column(1).to_pylist()]
+            owner = np.repeat(np.arange(len(texts)), [x.shape[1] for x in texts])
+            element, count = (np.concatenate([x[i] for x in texts]) for i in (0, 1))
+            keys = keys_of_texts(owner, element.view(np.uint64), count, len(texts), bands, per_band)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "bands"])
+
+    return sets.select("node", "packed").mapInArrow(sign, "node binary, bands array<long>").select("node", F.explode("bands").alias("key"))
+
+
 def _sets(documents: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """``node, packed`` for the given texts (``node, doc``): shingles and their counts as int64."""
 
@@ -329,42 +377,60 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         state = state.select("node", "root")
 
 
-def classes(documents: DataFrame, similar: float = SIMILAR, bands: int = BANDS, per_band: int = ROWS, size: int = SHINGLE) -> DataFrame:
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Each member with its bucket's leader."""
+    return buckets.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _joined(state: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after links between classes; members (``node, root``) of classes of one text are in no state yet."""
+    links = materialise(links)
+    if links.isEmpty():
+        return state
+    tops = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = state.select("node", "root").union(members.select("node", "root")).distinct()
+    return materialise(every.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
+def classes(documents: DataFrame, similar: float = SIMILAR, bands: int = BANDS, per_band: int = ROWS, size: int = SHINGLE, large: int = BLOCK_MEMBERS) -> DataFrame:
     """Rows ``doc_id, class_id, is_kept, node`` (the text's MD5): one per document.
 
     Documents are in one class if verified links join their texts, equal texts always;
     ``class_id`` is the class's least doc_id.  A null text is a class with no other (its own doc_id);
     texts without words are one class with equal ones only.  Of a class one text under one id
-    is kept; repeated rows of it all say so.  No links, classes or signatures reach the driver.
+    is kept; repeated rows of it all say so.  Texts of buckets of more than ``large`` that one leader doesn't join are signed again.  No links, classes or signatures reach the driver.
     """
     signed = materialise(signatures(documents, bands, per_band, size))
     # Distinct texts; copies of one text meet as counts, not as rows.
     nodes = materialise(signed.where("node is not null").groupBy("node", "bands").agg(F.min("doc_id").alias("doc")))
-    spread = nodes.select("node", F.explode("bands").alias("key"))
-    leaders = spread.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader != most").select("key", "leader")
-    buckets = materialise(spread.join(leaders, "key").select("key", "leader", "node"))
-    pairs = buckets.where("leader != node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    candidates = buckets.select("node").distinct()
-    sets = _sets(documents, nodes.join(candidates, "node").select("node", "doc"), size)
-    edges = materialise(verify(pairs, sets, similar))
-    state = components(edges)
-    # Buckets of three or more that still hold several classes: which of these are joined after all.
-    labelled = buckets.join(state, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).where("least != most and n > 2").select("key")
-    late = materialise(across(labelled.join(open_, "key"), sets, similar))
-    if not late.isEmpty():
-        tops = components(late).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        every = labelled.select("node", "root").distinct()
-        state = materialise(every.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    buckets = buckets_of(nodes.select("node", F.explode("bands").alias("key")))
+    sets = _sets(documents, nodes.join(buckets.select("node").distinct(), "node").select("node", "doc"), size)
+    state = components(materialise(verify(_stars(buckets), sets, similar)))
+    members = still_open(buckets, state)
+    state = _joined(state, members, across(members.where(F.col("n") <= large), sets, similar))
+    crowd = members.where(F.col("n") > large)
+    if not crowd.isEmpty():
+        few = sets.join(crowd.select("node").distinct(), "node")
+        buckets = buckets_of(fine_keys(few))
+        labels = buckets.join(state, "node", "left").select("node", "leader", F.coalesce("root", "node").alias("root"))
+        apart = labels.join(state.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left").where("root != coalesce(top, leader)")
+        pairs = materialise(verify(_stars(apart), sets, similar))
+        roots = lambda x: state.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+        links = pairs.join(roots("a"), "a", "left").join(roots("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct()
+        state = _joined(state, labels.select("node", "root"), links)
+        members = still_open(buckets, state)
+        state = _joined(state, members, across(members, sets, similar))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node"))
     # Written apart, so that rows of a large class can be split in the join; a lone text goes by its own name, not by null.
     ids = materialise(nodes.join(state, "node").groupBy("root").agg(first.alias("keeper")))
     keeper = lambda x: F.when(F.col("keeper").isNotNull(), F.col(f"keeper.{x}")).otherwise(F.col("doc" if x == "doc" else "node"))
     rooted = nodes.join(state, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.join(ids, "root", "left").select("node", keeper("doc").alias("class_id"), keeper("node").alias("keeper_node"))
-    out = signed.select("doc_id", "node").join(named, "node", "left")
-    kept = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keeper_node")))
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("is_kept"), "node")
+    out = signed.select("doc_id", "node").where("node is not null").join(named, "node")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keeper_node"))
+    # Null texts stay where they are: as keys of the join they would meet in one task.
+    lone = signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("is_kept"), "node")
+    return out.select("doc_id", "class_id", F.coalesce(kept, F.lit(False)).alias("is_kept"), "node").union(lone)
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
