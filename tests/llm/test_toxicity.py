@@ -14,6 +14,7 @@ from .conftest import unchanged
 def brute_marginals(model, words):
     """All labellings of a short chain."""
     extra = [sum(model.weights.get(f, 0.0) for f in x.features(w)) for w in words]
+    extra = [e + sum(model.weights.get(f, 0.0) for f in x.beside(words, i)) if e else 0.0 for i, e in enumerate(extra)]
     trans = [model.trans[:2], model.trans[2:]]
     total, hit = 0.0, [0.0] * len(words)
     for path in itertools.product((0, 1), repeat=len(words)):
@@ -50,6 +51,27 @@ def test_spans_are_code_points():
     assert got == ["bad bad", "bad"]
 
 
+def test_neighbours_count():
+    """The same marker is worth more beside a word that goes with toxic documents."""
+    rng = random.Random(4)
+    filler = [f"w{i:03}".encode() for i in range(300)]
+    sample = []
+    for i in range(400):
+        words = rng.choices(filler, k=30)
+        toxic = i % 4 == 0
+        words[rng.randrange(1, 29)] = b"slur" if toxic or i % 16 == 1 else words[0]
+        at = words.index(b"slur") if b"slur" in words else None
+        if at:
+            words[at - 1] = b"vile" if toxic and rng.random() < 0.8 else b"mild" if not toxic else words[at - 1]
+        sample.append((words, int(toxic)))
+    strong = x.pick_features(sample)
+    weights, bias, trans = x.train_field(x._chains(sample, strong))
+    assert b"=slur" in strong and weights[b"<vile"] > weights[b"<mild"]
+    scorer = x.Scorer(x.Model(weights, bias, trans))
+    text = [b"w001"] * 5
+    assert scorer.marginals([*text, b"vile", b"slur", *text])[6] > scorer.marginals([*text, b"mild", b"slur", *text])[6]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -61,7 +83,7 @@ def test_held_out_accuracy(spark):
     held = [(r["predicted"], labels[r["doc_id"]], r["score"]) for r in got if r["held_out"] and r["doc_id"] in labels]
     assert sum(p == t for p, t, _ in held) >= 0.97 * len(held)
     toxic = [p for p, t, _ in held if t]
-    assert sum(toxic) >= 0.85 * len(toxic)
+    assert sum(toxic) >= 0.9 * len(toxic)
 
 
 def test_held_out_labels_do_not_matter(spark):

@@ -1,10 +1,10 @@
 """Toxic spans by a linear-chain conditional random field.
 
 The labels mark whole documents, so the field's labelled tokens are made first: a word is
-toxic if its document is marked and it has a feature (the word, or its first four, five or
-six letters) that is found with many different neighbours in toxic documents and hardly ever in others.
-The field learns emission and transition weights from these by maximum
-likelihood.  Scoring runs forward-backward over every whole text: words without a known feature share one
+toxic if its document is marked and it has a marker (the word, or its first four to
+eight letters) that is found with many different neighbours in toxic documents and much less in others.
+The field learns weights of markers, of the words beside a marker and of transitions from these by maximum
+likelihood, so what a marker is worth depends on where else it and its neighbours are found.  Scoring runs forward-backward over every whole text: words without a known feature share one
 potential, so a run of them is a power of one 2 x 2 matrix, exact and independent of its length.
 The marginals of a document's words aggregate to its score and its offending offsets.
 """
@@ -28,7 +28,10 @@ SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 30_000
 MIN_CONTEXTS = 4
 CHANCE = 0.5
-OTHER_WEIGHT = 5
+#: The share of toxic documents among those with a marker; its likelihood is held against the share among all.
+MARKED = 0.8
+#: Training documents in which a neighbour must stand beside a marker.
+MIN_BESIDE = 3
 #: Words of a training chain.
 CHAIN = 24
 REMEMBERED = 300_000
@@ -46,9 +49,15 @@ class Model:
 
 
 def features(word: bytes) -> list[bytes]:
-    """The word itself and its prefixes of four to six letters."""
+    """The word itself and its prefixes of four to eight letters."""
     text = word.decode("utf-8", "replace")
-    return [b"=" + word, *(b"^" + text[:n].encode() for n in (4, 5, 6) if len(text) >= n)]
+    return [b"=" + word, *(b"^" + text[:n].encode() for n in (4, 5, 6, 7, 8) if len(text) >= n)]
+
+
+def beside(words: list[bytes], i: int) -> tuple[bytes, bytes]:
+    """Features of the words before and after a word with a marker: their first four letters, nothing at an end of the text."""
+    short = lambda w: w.decode("utf-8", "replace")[:4].encode()
+    return b"<" + (short(words[i - 1]) if i else b""), b">" + (short(words[i + 1]) if i + 1 < len(words) else b"")
 
 
 def held_out(column: str = "doc_id") -> F.Column:
@@ -69,9 +78,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_
 def pick_features(sample: list[tuple[list[bytes], int]]) -> set[bytes]:
     """Features that mark toxic words.
 
-    A feature must be found in so many toxic documents that, over all features tried,
-    ``CHANCE`` such features are expected if toxicity fell at random; each other document with it
-    takes back ``OTHER_WEIGHT``, or more where toxic documents are rare.  It must also stand between enough different
+    The documents with a marker must speak for a share of ``MARKED`` toxic ones against the share among all, so strongly that, over
+    all features tried, ``CHANCE`` such features are expected if toxicity fell at random.  It must also stand between enough different
     neighbours, so that copies of one document are no evidence.
     """
     toxic, other = defaultdict(int), defaultdict(int)
@@ -81,28 +89,36 @@ def pick_features(sample: list[tuple[list[bytes], int]]) -> set[bytes]:
         count = toxic if label else other
         for f in {f for w in set(words) for f in features_of[w]}:
             count[f] += 1
-    share = n[1] / max(1, sum(n))
-    needed = (math.log(max(1, len(toxic))) - math.log(CHANCE)) / -math.log(max(1e-9, min(share, 0.5)))
-    weight = max(OTHER_WEIGHT, 1 / max(share, 1e-3))
-    likely = {f for f, c in toxic.items() if c - weight * other[f] >= needed}
+    share = min(max(n[1] / max(1, sum(n)), 1e-3), 0.5)
+    needed = math.log(max(1, len(toxic))) - math.log(CHANCE)
+    gain, loss = math.log(MARKED / share), math.log((1 - MARKED) / (1 - share))
+    likely = {f for f, c in toxic.items() if c * gain + other[f] * loss >= needed}
+    enough = max(MIN_CONTEXTS, math.ceil(needed / gain / 2))
     contexts: dict[bytes, set] = defaultdict(set)
     for words, label in sample:
         for i, w in enumerate(words) if label else ():
             for f in features_of[w]:
-                if f in likely and len(contexts[f]) < 64:
+                if f in likely and len(contexts[f]) < enough:
                     contexts[f].add((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""))
-    return {f for f in likely if len(contexts[f]) >= max(MIN_CONTEXTS, needed / 2)}
+    return {f for f in likely if len(contexts[f]) >= enough}
 
 
 def _chains(sample: list[tuple[list[bytes], int]], strong: set[bytes]) -> dict[tuple, int]:
-    """Distinct chains of (features, label) with how often they occur."""
+    """Distinct chains of (features, label) with how often they occur; words with a marker have features of those beside them."""
     counts: dict[tuple, int] = defaultdict(int)
-    features_of = FeaturesOf()
-    for words, label in sample:
+    markers = FeaturesOf()
+    documents: dict[bytes, int] = defaultdict(int)
+    near = []
+    for words, _ in sample:
         for w in words:
-            if w not in features_of:
-                features_of[w] = tuple(f for f in features(w) if f in strong)
-        own = [features_of[w] for w in words]
+            if w not in markers:
+                markers[w] = tuple(f for f in features(w) if f in strong)
+        at = {i: beside(words, i) for i, w in enumerate(words) if markers[w]}
+        for f in {f for fs in at.values() for f in fs}:
+            documents[f] += 1
+        near.append(at)
+    for (words, label), at in zip(sample, near):
+        own = [markers[w] + tuple(f for f in at[i] if documents[f] >= MIN_BESIDE) if i in at else () for i, w in enumerate(words)]
         marks = [int(bool(label) and bool(fs)) for fs in own]
         for a in range(0, len(words), CHAIN):
             counts[tuple(zip(own[a : a + CHAIN], marks[a : a + CHAIN]))] += 1
@@ -211,6 +227,10 @@ class Scorer:
         extra = list(map(self.known.__getitem__, words))
         if not any(extra):
             return {}
+        weights = self.model.weights
+        for i, x in enumerate(extra):
+            if x:
+                extra[i] = x + sum(weights.get(f, 0.0) for f in beside(words, i)) or 1e-300
         active = sorted({j for i, x in enumerate(extra) if x for j in (i - 1, i, i + 1) if 0 <= j < len(words)})
         psi = [np.array([1.0, math.exp(min(60.0, max(-60.0, self.model.bias + extra[i])))]) for i in active]
         gaps = [active[0], *(b - a - 1 for a, b in zip(active, active[1:])), len(words) - active[-1] - 1]
