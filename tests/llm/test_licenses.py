@@ -1,4 +1,8 @@
+import random
 import re
+import time
+
+import pytest
 
 from tidelog.llm import licenses as lic
 from tidelog.llm.queries import QUERIES
@@ -56,10 +60,58 @@ def test_every_rule_sits_behind_its_gates():
     keywords, by_keyword = lic._compiled()
     for k in keywords:
         for _, rule, _ in by_keyword[k]:
-            inside = any(t in k for t in lic.TRIGGERS) or k == b"cc" or any(t in rule.regex for t in (b"licen", b"warrant", b"rights reserved"))
+            plain = rule.regex.replace(rb"\.", b".")
+            inside = any(t in k for t in lic.TRIGGERS) or k == b"cc" or any(t in plain for t in (b"licen", b"warrant", b"rights reserved", *lic.TRIGGERS))
             assert inside, rule
 
 
+def plain_detections(lower):
+    """All rules on the text, without gates, and suppression by all pairs."""
+    found = []
+    for order, rule in enumerate(lic.signature_rules()):
+        found += [(rule.priority, m.start() - m.end(), order, m.start(), m.end(), rule.label) for m in re.finditer(lic.wrapped(rule.regex), lower, re.S)]
+    kept = []
+    for priority, _, _, a, b, label in sorted(found):
+        if not any((x <= a and b <= y) or (p < priority and a <= x and y <= b) for x, y, _, p in kept):
+            kept.append((a, b, label, priority))
+    return sorted(kept)
+
+
+def test_detections_labels_and_score_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    some = [i for i, t in texts.items() if i % 40 == 0 or any(w in t.lower() for w in ("licen", "cc by", "rights", "warrant", "gpl"))]
+    out = {r["doc_id"]: r for r in QUERIES["op7_license_scan"](spark, sf).collect()}
+    for i in some:
+        lower = texts[i].encode().translate(lic.LOWER)
+        hits = plain_detections(lower)
+        base = set(filter(None, out[i]["base_labels"].split(",")))
+        assert [(d["start"], d["stop"], d["label"], d["priority"]) for d in out[i]["detections"]] == hits
+        assert out[i]["labels"] == ",".join(sorted(base | {h[2] for h in hits}))
+        miss = (1 - lic.CONFIDENCE[-1]) if base else 1.0
+        for h in hits:
+            miss *= 1 - lic.CONFIDENCE[h[3]]
+        assert out[i]["score"] == pytest.approx(1 - miss)
+    assert sum(bool(out[i]["detections"]) for i in some) > 20
+
+
+def test_suppression_against_all_pairs():
+    rng = random.Random(6)
+    for _ in range(400):
+        found = sorted({(rng.randrange(4), -(n := rng.randint(1, 12)), k, (a := rng.randrange(30)), a + n, "x") for k in range(rng.randrange(25))})
+        kept = []
+        for priority, _, _, a, b, label in found:
+            if not any((x <= a and b <= y) or (p < priority and a <= x and y <= b) for x, y, _, p in kept):
+                kept.append((a, b, label, priority))
+        assert lic.suppressed((a, b, label, p) for p, _, _, a, b, label in found) == sorted(kept)
+
+
+def test_very_many_detections_take_no_longer_each():
+    began = time.perf_counter()
+    assert len(lic.detect(b"mit license; gpl-3.0 and apache license 2.0, all rights reserved. " * 8_000)) == 32_000
+    assert time.perf_counter() - began < 20
+
+
 def test_suppression_keeps_the_best():
     hits = lic.detect(b"apache license 2.0, see the license for details; mit license")
     spans = [(a, b) for a, b, _, _ in hits]

@@ -10,7 +10,8 @@ priority, or around another of a better one, is suppressed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -19,7 +20,9 @@ from pyspark.sql import DataFrame
 from .common import ALNUM, LOWER, per_worker, rows, utf8
 
 PHRASES = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general public license", "gpl"))
-TRIGGERS = (b"licen", b"creative", b"cc0", b"cc by", b"cc-by", b"gpl", b"gfdl", b"public domain", b"rights reserved", b"warrant", b"redistribut", b"apache.org", b"free of charge", b"permission to use", b"altered source versions", b"mozilla.org/mpl")
+TRIGGERS = (b"licen", b"creative", b"cc0", b"cc by", b"cc-by", b"gpl", b"gfdl", b"public domain", b"rights reserved", b"warrant", b"redistribut", b"apache.org", b"free of charge", b"permission to use", b"altered source versions", b"mozilla.org/mpl",
+            b"unencumbered", b"this product includes", b"advertising", b"endorse or promote", b"what the fuck you want", b"without fee", b"royalty", b"toolkit", b"take away your freedom", b"independent jpeg", b"verbatim copies",
+            b"managed service", b"as a service", b"non-production use", b"retain this notice", b"waived all copyright", b"any medium or format", b"sell the software", b"interacting with it remotely", b"as is", b"jasper")
 #: What a space of a rule stands for, and what gates read as one space.
 GAP = rb"(?:[ \t\r]*\n[\s*#/;%|>]*|[ \t\r]+)"
 WRAP = re.compile(rb"[ \t\r]*\n[\s*#/;%|>]*|[ \t\r]{2,}|[\t\r]")
@@ -137,6 +140,50 @@ NOTICES = (
     ("public-domain", 3, b"public domain", rb"(?:released |placed |dedicated |is )?(?:in(?:to)? |to )?the public domain"),
     ("cc0-1.0", 1, b"cc0", rb"\bcc0(?:[ -]1\.0)?\b(?: universal)?"),
     ("cc0-1.0", 1, b"creativecommons.org/publicdomain", rb"https?://creativecommons\.org/publicdomain/zero/1\.0/?"),
+    ("apache-2.0", 1, b"royalty", rb"perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare derivative works of"),
+    ("apache-1.1", 2, b"this product includes software", rb"this product includes software developed by the apache (?:software foundation|group)"),
+    ("bsd-3-clause", 1, b"endorse or promote", rb"neither the names? of .{0,200}?(?:may|shall) be used to endorse or promote products derived from this software without (?:specific )?prior written permission"),
+    ("bsd-4-clause", 1, b"advertising materials", rb"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("mpl-2.0", 1, b"mozilla public", rb"this source code form is subject to the terms of the mozilla public license, v\. 2\.0"),
+    ("mpl-1.1", 1, b"mozilla public", rb"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("mpl-1.0", 1, b"mozilla public", rb"the contents of this file are subject to the mozilla public license version 1\.0"),
+    ("epl-1.0", 1, b"eclipse public", rb"this program and the accompanying materials are made available under the terms of the eclipse public license v ?1\.0"),
+    ("epl-2.0", 1, b"eclipse public", rb"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v\. ?)?2\.0"),
+    ("cddl-1.0", 2, b"common development", rb"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", 1, b"unencumbered", rb"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", 1, b"what the fuck", rb"you just do what the fuck you want to"),
+    ("bsl-1.0", 1, b"free of charge", rb"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("postgresql", 1, b"without fee", rb"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("ncsa", 1, b"free of charge", rb"to any person obtaining a copy of this software and associated documentation files \(the .software.\), to deal with the software without restriction"),
+    ("ofl-1.1", 1, b"free of charge", rb"permission is hereby granted, free of charge, to any person obtaining a copy of the font software"),
+    ("icu", 1, b"free of charge", rb"permission is hereby granted, free of charge, to any person obtaining a copy of (?:the unicode data files|this software and associated documentation files .{0,40}to deal in the software without restriction, including .{0,200}provided that the above copyright notice\(s\))"),
+    ("openssl", 1, b"toolkit", rb"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("python-2.0", 1, b"as is", rb"(?:psf|beopen|cnri|stichting mathematisch centrum) is making (?:python|this software)[^.]{0,60} available to licensee on an .as is. basis"),
+    ("artistic-2.0", 1, b"redistribut", rb"this license establishes the terms under which a given free software package may be copied, modified, distributed, and/or redistributed"),
+    ("artistic-1.0", 1, b"verbatim copies", rb"you may make and give away verbatim copies of the source form of the standard version of this package without restriction"),
+    ("ruby", 1, b"verbatim copies", rb"you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("curl", 1, b"permission to use", rb"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("w3c", 1, b"without fee", rb"permission to copy, modify, and distribute this (?:work|software and its documentation), with or without modification, for any purpose and without fee or royalty is hereby granted"),
+    ("x11", 1, b"advertising or otherwise", rb"except as contained in this notice, the name .{0,120}?shall not be used in advertising or otherwise to promote the sale, use or other dealings"),
+    ("ijg", 1, b"independent jpeg", rb"this software is based in part on the work of the independent jpeg group"),
+    ("libpng", 1, b"as is", rb"the png reference library is supplied .as is."),
+    ("php-3.01", 1, b"this product includes php", rb"this product includes php(?: software)?,? freely available from"),
+    ("agpl-3.0", 1, b"interacting with it remotely", rb"your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gpl-3.0", 1, b"take away your freedom", rb"the licen[sc]es for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("gpl-2.0", 1, b"take away your freedom", rb"the licen[sc]es for most software are designed to take away your freedom to share and change it"),
+    ("busl-1.1", 1, b"non-production use", rb"right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work"),
+    ("sspl-1.0", 1, b"as a service", rb"make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", 1, b"managed service", rb"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", 1, b"sell the software", rb"does not grant to you,? the right to sell the software"),
+    ("ms-pl", 1, b"royalty", rb"each contributor grants you a non-exclusive, worldwide, royalty-free copyright license to reproduce its contribution, prepare derivative works of its contribution"),
+    ("upl-1.0", 1, b"royalty", rb"perpetual, irrevocable, worldwide, non-exclusive, royalty-free license .{0,80}?larger work"),
+    ("afl-3.0", 1, b"academic free", rb"licensed under the academic free license version 3\.0"),
+    ("osl-3.0", 1, b"open software", rb"licensed under the open software license version 3\.0"),
+    ("odbl-1.0", 1, b"open database", rb"is made available under the open database license"),
+    ("cc0-1.0", 1, b"waived all copyright", rb"to the extent possible under law, .{0,120}?has waived all copyright and related or neighboring rights"),
+    ("beerware", 1, b"retain this notice", rb"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("jasper-2.0", 1, b"jasper", rb"jasper licen[sc]e version 2\.0"),
+    ("creative-commons", 4, b"any medium or format", rb"copy and redistribute the material in any medium or format"),
     ("proprietary", 4, b"all rights reserved", rb"all rights reserved"),
     ("unlicense", 1, b"unlicen", rb"\bunlicen[sc]e\b|unlicense\.org"),
     ("no-warranty", 4, b"warrant", rb"without warranty of any kind|without any warranty|as[ -]is[\"']?, without warrant(?:y|ies)"),
@@ -219,12 +266,28 @@ def detect(lower: bytes) -> list[tuple[int, int, str, int]]:
         if k in flat:
             for order, rule, regex in by_keyword[k]:
                 found += [(rule.priority, m.start() - m.end(), order, m.start(), m.end(), rule.label) for m in regex.finditer(lower)]
-    kept: list[tuple[int, int, str, int]] = []
     # Best priority first, longer first, earlier rule first.
-    for priority, _, _, a, b, label in sorted(found):
-        if not any((x <= a and b <= y) or (p < priority and a <= x and y <= b) for x, y, _, p in kept):
-            kept.append((a, b, label, priority))
-    return sorted(kept)
+    return suppressed((a, b, label, priority) for priority, _, _, a, b, label in sorted(found))
+
+
+def suppressed(found: Iterable[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Detections without those inside a kept one or around one; they come best first.
+
+    None of the kept lies inside another, so ordered by start they are ordered by end too, and a look to both sides tells.
+    """
+    starts: list[int] = []
+    kept: list[tuple[int, int, str, int]] = []
+    for hit in found:
+        a, b = hit[:2]
+        i = bisect_right(starts, a)
+        if i and kept[i - 1][1] >= b:  # inside the last one that begins before
+            continue
+        i = bisect_left(starts, a)
+        if i < len(kept) and kept[i][1] <= b:  # around the next one
+            continue
+        insort(starts, a)
+        kept.insert(bisect_left(starts, a), hit)
+    return kept
 
 
 def base_places(words: list[bytes]) -> tuple[int, int | None, int | None, set[str]]:
