@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -26,11 +27,14 @@ WRITTEN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only a session that names none
-    (a local test) gets a temporary folder, which is then set as its checkpoint folder.
+    It is the cluster's ``spark.checkpoint.dir``; only a local session that names none
+    (a test) gets a temporary folder, which is then set as its checkpoint folder.  Elsewhere executors would write to
+    disks of their own, so a session without a folder is refused.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidelog-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -49,11 +53,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> int:
-    """Remove what ``materialise`` has written in this process; results that read it must be done.  Returns the number of folders."""
+def tidy(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Remove what ``materialise`` has written in this process, or only ``paths`` of it; results that read it must be done.
+
+    Returns the number of folders.
+    """
     jvm, n = spark.sparkContext._jvm, 0
-    while WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+    for name in list(WRITTEN) if paths is None else paths:
+        WRITTEN.remove(name)
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
 

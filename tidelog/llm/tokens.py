@@ -135,4 +135,5 @@ def count_tokens(documents: DataFrame, vocabulary: tuple[list[bytes], list[bytes
                     known.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_unknown, pa.int64())], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return documents.select("doc_id", utf8().alias("text")).mapInArrow(count, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    kind = dict(documents.dtypes)["doc_id"]
+    return documents.select("doc_id", utf8().alias("text")).mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
