@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import decontam, neardup, packing, quality, toxicity
-from tidelog.llm.common import materialise, table
+from tidelog.llm.common import WRITTEN, materialise, table, tidy
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again.
+
+    When a stage is written, what it and the one before have left in the shared folder is removed.
+    """
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for _, stage in STAGES:
+        mark = len(WRITTEN)
         docs = materialise(stage(spark, docs, sf_dir))
+        tidy(spark, [*before, *WRITTEN[mark:-1]])
+        before = WRITTEN[-1:]
     return docs
