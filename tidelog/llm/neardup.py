@@ -37,6 +37,7 @@ BANDS, ROWS = 24, 4
 FINE_BANDS, FINE_ROWS = 64, 8
 #: A key's rows are dealt into so many parts wherever they meet.
 SALTS = 1024
+LEADER_SALTS = 32
 REMEMBERED = 300_000
 #: Words handled at once.
 CHUNK_WORDS = 400_000
@@ -198,15 +199,22 @@ def signatures(documents: DataFrame, bands: int = BANDS, per_band: int = ROWS, s
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar: probability or plain Jaccard of ``similar``."""
+    """The pairs ``a, b`` whose texts are similar: probability or plain Jaccard of ``similar``.  Other columns go along.
+
+    A leader of very many pairs meets them in ``LEADER_SALTS`` parts.
+    """
+    more = [c for c in pairs.columns if c not in ("a", "b")]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 256):
-            keep = [max(similarity(a, b)) >= similar for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            last = batch.num_columns - 1
+            keep = [max(similarity(a, b)) >= similar for a, b in zip(batch.column(last - 1).to_pylist(), batch.column(last).to_pylist())]
+            yield pa.RecordBatch.from_arrays(batch.columns[: last - 1], names=["a", "b", *more]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(LEADER_SALTS)).cast("int"))
+    leaders = dealt.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a")
+    both = dealt.join(sets.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b").join(leaders, ["a", "salt"])
+    return both.select("a", "b", *more, "x", "y").mapInArrow(check, ", ".join(f"{c} binary" for c in ("a", "b", *more)))
 
 
 def class_links(first: list[tuple[bytes, bytes, bytes]], second: list[tuple[bytes, bytes, bytes]] | None, similar: float) -> list[tuple[bytes, bytes]]:
@@ -411,14 +419,14 @@ def classes(documents: DataFrame, similar: float = SIMILAR, bands: int = BANDS,
     crowd = members.where(F.col("n") > large)
     if not crowd.isEmpty():
         few = sets.join(crowd.select("node").distinct(), "node")
-        buckets = buckets_of(fine_keys(few))
-        labels = buckets.join(state, "node", "left").select("node", "leader", F.coalesce("root", "node").alias("root"))
-        apart = labels.join(state.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left").where("root != coalesce(top, leader)")
-        pairs = materialise(verify(_stars(apart), sets, similar))
-        roots = lambda x: state.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-        links = pairs.join(roots("a"), "a", "left").join(roots("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b").distinct()
-        state = _joined(state, labels.select("node", "root"), links)
-        members = still_open(buckets, state)
+        spread = fine_keys(few).join(state, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        spread = materialise(salted(spread))
+        tops = _keyed(spread, ("lead", F.min(F.struct("node", "root")), F.min), ("most", F.max("node"), F.max)).where("lead.node != most")
+        buckets = materialise(spread.join(tops, ["key", "salt"]).select("key", "salt", "node", "root", "lead"))
+        apart = buckets.where("root != lead.root").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.root").alias("a_root"), F.col("root").alias("b_root")).distinct()
+        links = verify(apart, sets, similar).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+        state = _joined(state, buckets, links)
+        members = still_open(buckets.select("key", "salt", "node"), state)
         state = _joined(state, members, across(members, sets, similar))
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node"))
     # Written apart, so that rows of a large class can be split in the join; a lone text goes by its own name, not by null.
