@@ -8,6 +8,7 @@ closed form, not by replaying the log.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import catalog_rules
 from .functions import canonical
 from .functions.filters import compile_filter, parse_filter, struct_lookup
 from .operators import apply, encode
@@ -168,14 +170,14 @@ def op_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten(spark, sf_dir).select("op", F.col("before.o_orderkey").alias("before_key"), F.col("after.o_orderkey").alias("after_key"), F.col("after.o_orderstatus").alias("after_status"), "seq")
 
 
-@query(O + "SELECT k AS o_orderkey, 'd' AS op FROM o WHERE k % 5 = 0 AND st <> 'P' AND ns = 'P'")
+@query(LOG_SQL + "SELECT bk AS o_orderkey, 'd' AS op FROM out_ WHERE op = 'd' AND was = 'u'")
 def fall_out_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewritten(spark, sf_dir).where("op = 'd' and seq = 1").select("before.o_orderkey", "op")
+    return rewritten(spark, sf_dir).where("op = 'd' and seq <= 2").select("before.o_orderkey", "op")
 
 
-@query(O + "SELECT k AS o_orderkey, 'c' AS op, ns AS o_orderstatus FROM o WHERE k % 5 = 0 AND st = 'P'")
+@query(LOG_SQL + "SELECT ak AS o_orderkey, 'c' AS op, ast AS o_orderstatus FROM out_ WHERE op = 'c' AND was = 'u'")
 def fall_in_create(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewritten(spark, sf_dir).where("op = 'c' and seq = 1").select("after.o_orderkey", "op", "after.o_orderstatus")
+    return rewritten(spark, sf_dir).where("op = 'c' and seq <= 2").select("after.o_orderkey", "op", "after.o_orderstatus")
 
 
 @query(O + "SELECT st AS \"Status\", k AS o_orderkey, 'r' AS op FROM o UNION ALL SELECT ns, k, 'u' FROM o WHERE k % 5 = 0 UNION ALL SELECT ns, nk, 'u' FROM o WHERE k % 7 = 0 UNION ALL SELECT 'N', k, 'c' FROM o WHERE k % 55 = 0")
@@ -363,13 +365,22 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.json_lines(log, ("o_orderkey", "o_orderstatus")).select(F.col("seq").alias("o_orderkey"), F.col("value").alias("line"))
 
 
-@query(O + """SELECT CASE WHEN n = 0 THEN 'DELETE FROM "dw"."orders" WHERE "o_orderkey" = $1' ELSE 'INSERT INTO "dw"."orders" ("o_orderkey", "o_orderstatus") VALUES ($1, $2) ON CONFLICT ("o_orderkey") DO UPDATE SET "o_orderstatus" = EXCLUDED."o_orderstatus"' END AS sql,
-CASE WHEN n = 0 THEN CAST(k AS VARCHAR) ELSE nk || ',' || ns END AS args FROM o, (SELECT unnest([0, 1]) AS n) WHERE k % 7 = 0""")
+@query(LOG_SQL + """SELECT 'DELETE FROM "dw"."orders" WHERE "o_orderkey" = $1' AS sql, CAST(bk AS VARCHAR) AS args FROM log WHERE op = 'd' OR (op = 'u' AND bk <> ak)
+UNION ALL SELECT 'INSERT INTO "dw"."orders" ("o_orderkey", "o_orderstatus") VALUES ($1, $2) ON CONFLICT ("o_orderkey") DO UPDATE SET "o_orderstatus" = EXCLUDED."o_orderstatus"', ak || ',' || ast FROM log WHERE op <> 'd'""")
 def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = project(orders_log(spark, sf_dir).where("op = 'u' and seq = 2"), ("o_orderkey", "o_orderstatus"))
+    log = project(orders_log(spark, sf_dir), ("o_orderkey", "o_orderstatus"))
     return encode.sql_statements(log, "postgresql", "dw", "orders", KEY).select("sql", F.array_join("args", ",").alias("args"))
 
 
+@query(STATE_SQL + """, gone AS (SELECT k AS o_orderkey FROM o WHERE k % 7 = 0 AND k % 55 <> 0 UNION SELECT nk FROM o WHERE k % 11 = 0 AND (k % 7 = 0 OR k % 55 <> 0))
+SELECT 'INSERT' AS verb, o_orderkey || ',' || o_orderstatus AS args FROM s UNION ALL SELECT 'DELETE', CAST(o_orderkey AS VARCHAR) FROM gone""")
+def reduced_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a SQL sink is sent for the whole log as one batch: one statement a key."""
+    log = project(orders_log(spark, sf_dir), ("o_orderkey", "o_orderstatus"))
+    last = encode.write_statements(apply.last_writes(apply.split_key_changes(log, KEY), KEY), "mysql", "dw", "orders", KEY)
+    return last.select(F.substring_index("sql", " ", 1).alias("verb"), F.array_join("args", ",").alias("args"))
+
+
 # --- canonical scalars ----------------------------------------------------------------------------------
 
 
@@ -389,13 +400,13 @@ def canonical_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 AND (event_id % 839 + event_id % 60 + event_id % 59) > 0 THEN '-' ELSE '' END || (event_id % 839) || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(event_id % 59 AS VARCHAR), 2, '0') || '.' || CASE WHEN event_id % 3 = 0 THEN '500000' ELSE '000000' END AS t
-FROM events WHERE event_id > 0""")
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 AND ((event_id % 839 + event_id % 60 + event_id % 59) > 0 OR event_id % 3 = 0) THEN '-' ELSE '' END || (event_id % 839) || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(event_id % 59 AS VARCHAR), 2, '0') || '.' || CASE WHEN event_id % 3 = 0 THEN '500000' ELSE '000000' END AS t
+FROM events""")
 def canonical_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     part = lambda n, width: F.lpad((e % n).cast("string"), width, "0")
     text = F.concat(F.when(e % 2 == 0, "-").otherwise(""), part(839, 3), F.lit(":"), part(60, 2), F.lit(":"), part(59, 2), F.when(e % 3 == 0, ".5").otherwise(""))
-    return table(spark, sf_dir, "events").where("event_id > 0").select("event_id", canonical.time(text).alias("t"))
+    return table(spark, sf_dir, "events").select("event_id", canonical.time(text).alias("t"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'red' WHEN 2 THEN 'green' ELSE 'blue' END AS color,
@@ -421,10 +432,12 @@ def split_plan_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_splits(table(spark, sf_dir, "orders"), "o_orderkey", 1000)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1000 UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1000")
+@query("SELECT o_orderkey, o_custkey FROM orders")
 def split_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split, the first and the last without an outer bound: each row once."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return rows.where(split_predicate("o_orderkey", 100, 1000)).union(rows.where(split_predicate("o_orderkey", 1000, None)))
+    parts = [rows.where(split_predicate("o_orderkey", low, high)) for low, high in ((None, 100), (100, 1000), (1000, None))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("SELECT event_id FROM events WHERE epoch_ms(ts) >= (SELECT epoch_ms(min(ts)) + (epoch_ms(max(ts)) - epoch_ms(min(ts))) // 2 FROM events) // 1000 * 1000")
@@ -479,6 +492,111 @@ def verify_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.differences(rows, apply.merge_state(rows, orders_changes(rows), KEY), KEY)
 
 
+# --- whole runs -------------------------------------------------------------------------------------------
+
+
+class FrameSource:
+    """Tables and their changes as DataFrames; a run sees what ``changed`` gives at that time."""
+
+    by_split = False
+
+    def __init__(self, frames: dict[tuple[str, str], tuple[DataFrame, DataFrame]], keys: tuple[str, ...]):
+        self.frames, self.keys = frames, keys
+
+    def tables(self) -> list[tuple[str, str]]:
+        return list(self.frames)
+
+    def describe(self, database: str, name: str) -> Table:
+        return describe(database, name, self.frames[database, name][0].schema, self.keys)
+
+    def read(self, database: str, name: str, key: str | None = None, splits: list | None = None) -> DataFrame:
+        return self.frames[database, name][0]
+
+    def changes(self, database: str, name: str) -> DataFrame:
+        return self.frames[database, name][1]
+
+    def position(self) -> int:
+        return 0
+
+    def end(self, changed: DataFrame) -> int | None:
+        return changed.agg(F.max("seq")).first()[0]
+
+
+def runs(spark: SparkSession, mode: str, routes: list[dict], *sources: FrameSource) -> DataFrame:
+    """The only sink table after a run over each source in turn, each going on where the one before ended."""
+    from .plans.config import load_pipeline
+    from .plans.job import run_batch
+    from .streaming.tables import VersionedTable
+
+    folder = scratch(spark)
+    login = {"hostname": "h", "username": "u", "password": "p"}
+    pipeline = load_pipeline({"source": login | {"tables": r"shop\..*", "scan.startup.mode": mode}, "sink": login | {"type": "mysql"}, "route": routes, "pipeline": {"name": "p"}, "checkpoint": {"file-path": f"{folder}/state"}})
+    for source in sources:
+        (sink,) = run_batch(spark, pipeline, source, f"{folder}/out")
+    return VersionedTable(spark, f"{folder}/out/{sink}", KEY).read()
+
+
+def log_of(rows: DataFrame, changed: DataFrame, name: str = "orders") -> FrameSource:
+    return FrameSource({("shop", name): (rows, changed)}, KEY)
+
+
+@query(STATE_SQL + "SELECT * FROM s")
+def resume_from_acked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot and changes 1 and 2; then a second run, which reads only what came after."""
+    rows = orders(spark, sf_dir)
+    changed = orders_changes(rows)
+    return runs(spark, "initial", [], log_of(rows, changed.where("seq <= 2")), log_of(rows.limit(0), changed.where("seq > 2").unionByName(changed.where("seq = 1"))))
+
+
+@query(O + "SELECT k AS o_orderkey, c AS o_custkey, 'N' AS o_orderstatus, d AS o_orderdate FROM o WHERE k % 55 = 0")
+def startup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begun behind change 2: only what comes later is there."""
+    rows = orders(spark, sf_dir)
+    changed = orders_changes(rows)
+    return runs(spark, "latest", [], log_of(rows, changed.where("seq <= 2")), log_of(rows, changed))
+
+
+@query(STATE_SQL + "SELECT * FROM s")
+def fan_in_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two source tables routed into one sink table."""
+    rows = orders(spark, sf_dir)
+    frames = {}
+    for name, odd in (("even", 0), ("odd", 1)):
+        own = rows.where(F.col("o_orderkey") % 2 == odd)
+        frames["shop", name] = (own, orders_changes(own).withColumn("source_table", F.lit(name)))
+    return runs(spark, "initial", [{"source-table": r"shop\..*", "sink-table": "dw.all"}], FrameSource(frames, KEY))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 10 = 0 OR event_id % 7 = 1")
+def null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that no target could find again: creates and deletes by a null key."""
+    log = events_log(spark, sf_dir)
+    e = F.col("after.event_id")
+    hidden = F.struct(F.when((e % 10 != 0) & (e % 7 != 1), F.col("after.user_id")).alias("user_id"), *(F.col(f"after.{c}") for c in ("event_id", "event_type", "ts")))
+    log = log.withColumn("after", hidden).withColumns({"op": F.when(e % 7 == 1, "d").otherwise("c"), "before": F.when(e % 7 == 1, F.col("after"))})
+    return apply.null_keys(log, ("user_id",)).select(F.coalesce("after.event_id", "before.event_id").alias("event_id"))
+
+
+@query("SELECT true AS rejected")
+def merge_null_key_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = orders(spark, sf_dir)
+    log = orders_changes(rows).withColumn("after", F.when(F.col("seq") == 4, F.struct(F.lit(None).cast("bigint").alias("o_orderkey"), *(F.col(f"after.{c}") for c in rows.columns[1:]))).otherwise(F.col("after")))
+    try:
+        apply.merge_state(rows, log, KEY).write.format("noop").mode("overwrite").save()
+    except Exception as e:
+        return spark.createDataFrame([("a key is null" in str(e),)], "rejected boolean")
+    return spark.createDataFrame([(False,)], "rejected boolean")
+
+
+@query("SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS whole, CAST(p_size AS VARCHAR) AS positive, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE to_base64(encode(p_name)) END AS bytes, '{\"a\":[' || p_size || ',\"' || p_brand || '\"]}' AS js FROM part")
+def canonical_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        k, canonical.integer(F.concat(F.lit(" "), k.cast("string"))).alias("whole"), canonical.unsigned(size.cast("string")).alias("positive"), canonical.binary(F.when(k % 3 != 0, F.col("p_name").cast("binary"))).alias("bytes"),
+        canonical.json(F.concat(F.lit('{ "a" : [ '), size.cast("string"), F.lit(' , "'), F.col("p_brand"), F.lit('" ] }'))).alias("js"),
+    )
+
+
 # --- schema evolution and streams ----------------------------------------------------------------------------
 
 
@@ -499,9 +617,11 @@ def evolve_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: under the cluster's checkpoint folder, else local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidelog-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors see: under the cluster's checkpoint folder, or local in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='tidelog-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query(STATE_SQL + "SELECT o_orderkey, o_custkey, o_orderstatus FROM s")
@@ -518,3 +638,7 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.where(F.col("seq").between(low, high)).select("value").write.mode("append").text(f"{folder}/log")
         start(change_stream(spark, f"{folder}/log", kind, files_per_batch=1_000), applier, f"{folder}/checkpoint").awaitTermination()
     return applier.state.read()
+
+
+QUERIES |= catalog_rules.QUERIES
+ORACLE_SQL |= catalog_rules.ORACLE_SQL
