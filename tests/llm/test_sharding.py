@@ -1,6 +1,10 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import accumulate
+
+import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import sharding as s
 from tidelog.llm.queries import QUERIES
@@ -38,6 +42,30 @@ def test_hot_group_is_cut_and_others_are_whole(spark):
     assert (zlib.crc32(("copy " * 20).encode()), 101) in cut and len(cut) <= 2
 
 
+@pytest.mark.parametrize("copies", [0, 3000])
+def test_places_against_a_sort(spark, copies):
+    """Shards and slots are those of one sort of all rows; each boundary is within tolerance, at the edge of a group if there is one."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    if copies:
+        frame = frame.unionByName(spark.range(-copies, 0).select(F.col("id").alias("doc_id"), F.lit("one text over and over").alias("text")))
+    got = {r["doc_id"]: r for r in s.shard(frame).collect()}
+    order = sorted(tuple(r) for r in frame.select(F.xxhash64("text"), F.xxhash64("doc_id"), "doc_id").collect())
+    assert len(got) == len(order)
+    counts = defaultdict(int)
+    for _, _, i in order:
+        assert got[i]["slot"] == counts[got[i]["shard"]]
+        counts[got[i]["shard"]] += 1
+    shards = [got[i]["shard"] for _, _, i in order]
+    assert shards == sorted(shards)
+    edges = [0, *accumulate(got[i]["size"] for _, _, i in order)]
+    slack = s.TOLERANCE * edges[-1] / s.SHARDS / 2
+    for shard in range(1, s.SHARDS):
+        target, at = edges[-1] * shard // s.SHARDS, sum(x < shard for x in shards)
+        assert abs(edges[at] - target) <= slack or any(edges[j] < target < edges[j + 1] for j in (at - 1, at))
+        if any(abs(edges[j] - target) <= slack and order[j - 1][0] != order[j][0] for j in range(1, len(order))):
+            assert order[at - 1][0] != order[at][0]
+
+
 def test_equal_rows_are_cut_too(spark):
     texts = [(1, "x" * 9)] * 4000
     check(s.shard(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts, most=20)
