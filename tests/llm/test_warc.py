@@ -45,3 +45,38 @@ def test_as_of_across_slices(spark):
         if kind == "revisit":
             earlier = [(t, j) for j, u, t, k, *_ in rows if k == "response" and u == url and t < ts]
             assert out[i]["resolved_id"] == (max(earlier)[1] if earlier else None)
+
+
+def test_repeated_records_give_repeated_rows(spark):
+    page, again = (1, "http://h/a", 1, "response", "e", None, {"etag": "e", "age": None}), (2, "http://h/a", 9, "revisit", "e", None, None)
+    records = spark.createDataFrame([(*r, "x", "y", 1) for r in (page, page, again, again, again)], SCHEMA)
+    got = [(r["record_id"], r["resolved_id"], r["headers_json"]) for r in warc.resolve_revisits(records).collect()]
+    assert got == [(2, 1, '{"etag":"e"}')] * 3
+
+
+def test_captures_of_pages(spark):
+    """The derived captures against a plain scan: every status comes up, and pages of a host meet."""
+    rng = random.Random(2)
+    pages = [(i, f"https://{rng.choice('abc')}.org/{i % 40}", rng.choice(["", "x", None])) for i in range(400)]
+    records = warc.records_of_pages(spark.createDataFrame([*pages, (None, "http://n/1", "x"), (900, None, "x")], "page_id long, url string, html string"))
+    rows = records.withColumn("name", warc.canonical_url(records["url"])).collect()
+    out = {r["record_id"]: r for r in warc.resolve_revisits(records).collect()}
+    weak = lambda tag: tag.removeprefix("W/")
+    seen, strangers = set(), 0
+    for r in (x for x in rows if x["kind"] == "revisit" and x["ts"] is not None and x["name"] is not None):
+        earlier = [x for x in rows if x["kind"] == "response" and x["name"] == r["name"] and x["ts"] is not None and x["ts"] < r["ts"]]
+        base, got = max(earlier, key=lambda x: (x["ts"], x["record_id"]), default=None), out[r["record_id"]]
+        if base is None:
+            status = "no_earlier_response"
+        elif r["etag"] is not None and base["etag"] is not None:
+            status = "resolved" if weak(r["etag"]) == weak(base["etag"]) else "validator_mismatch"
+        elif r["last_modified"] is not None and base["last_modified"] is not None:
+            status = "resolved" if r["last_modified"] == base["last_modified"] else "validator_mismatch"
+        else:
+            status = "unvalidated"
+        headers = {**base["headers"], **{k: v for k, v in r["headers"].items() if k in warc.PERMITTED}} if status in ("resolved", "unvalidated") else None
+        assert (got["status"], got["resolved_id"]) == (status, base and base["record_id"])
+        assert (json.loads(got["headers_json"]) if got["headers_json"] else None) == headers
+        seen.add((status, r["record_id"] % 4))
+        strangers += status == "resolved" and base["record_id"] // 4 != r["record_id"] // 4
+    assert {s for s, _ in seen} == {"resolved", "unvalidated", "validator_mismatch", "no_earlier_response"} and strangers > 100

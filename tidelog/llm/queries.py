@@ -104,27 +104,34 @@ SELECT conv_id, call_id, turn, name, status, topo, CAST(n_calls AS BIGINT) AS n_
        '{' || concat_ws(',', CASE WHEN n_calls > 0 THEN '"arguments":' || arguments END, '"id":' || coalesce(to_json(call_id), 'null'), CASE WHEN n_calls > 0 THEN '"name":"' || name || '"' END, CASE WHEN n_results > 0 THEN '"result":' || coalesce(to_json(content), 'null') END) || '}' AS json
 FROM linked""",
     "op2_warc_revisits": r"""
-WITH parts AS (
-  SELECT page_id, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, '')) AS size,
-         regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
+WITH p AS (SELECT page_id AS k, url, coalesce(html, '') AS html, md5(coalesce(html, '')) AS tag, 'day ' || page_id AS day, CASE WHEN page_id % 5 = 0 THEN 'x' ELSE '' END AS mark,
+                  regexp_extract(trim(url), '^([^/?#]*(?://[^/?#]*)?)', 1) || '/style.css' AS sheet, CAST(page_id // 64 AS VARCHAR) AS version FROM pages),
+records AS (
+  SELECT k * 4 AS record_id, url, k * 8 AS ts, true AS complete, CASE WHEN k % 4 < 2 THEN tag END AS etag, CASE WHEN k % 2 = 0 THEN day END AS date, strlen(html) AS size, 'text/html' AS kind FROM p
+  UNION ALL SELECT k * 4 + 1, url, k * 8 - 1, false, CASE WHEN k % 4 < 2 THEN tag END, CASE WHEN k % 2 = 0 THEN day END, 0, NULL FROM p
+  UNION ALL SELECT k * 4 + 2, url, k * 8 + 2, false, CASE WHEN k % 7 <> 0 THEN 'W/' || tag || mark END, day || mark, 0, NULL FROM p
+  UNION ALL SELECT k * 4 + 3, sheet, k * 8 + 4, k % 3 = 0, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 'v' || version END, version, 100, 'text/css' FROM p),
+parts AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM records),
 urls AS (
-  SELECT page_id, tag, size,
-         regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*(?://[^/?]*)?)', 1)), '^(http://[^:]*):80$', '\1'), '^(https://[^:]*):443$', '\1')
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*(?://[^/?]*)?)', 1)), '^(http://[^:]*):80$', '\1'), '^(https://[^:]*):443$', '\1')
          || regexp_replace(regexp_extract(bare, '^[^/?]*(?://[^/?]*)?([^?]*)', 1), '/+$', '') AS front,
          array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query
   FROM parts),
-full_ AS (SELECT page_id * 3 AS record_id, page_id * 4 AS ts, tag, size, front || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url, page_id FROM urls),
-revisit AS (
-  SELECT page_id * 3 + 1 AS record_id, canonical_url, page_id * 4 - 1 AS ts, tag FROM full_
-  UNION ALL SELECT page_id * 3 + 2, canonical_url, page_id * 4 + 2, tag FROM full_),
+named AS (SELECT *, front || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM urls),
 joined AS (
-  SELECT r.record_id, r.canonical_url, r.ts, r.tag, f.record_id AS resolved_id, f.ts AS resolved_ts, f.tag AS old_tag, f.size,
+  SELECT r.record_id, r.canonical_url, r.ts, r.etag, r.date, f.record_id AS resolved_id, f.ts AS resolved_ts, f.etag AS old_etag, f.date AS old_date, f.size, f.kind,
          row_number() OVER (PARTITION BY r.record_id ORDER BY f.ts DESC, f.record_id DESC) AS place
-  FROM revisit r LEFT JOIN full_ f ON f.canonical_url = r.canonical_url AND f.ts < r.ts)
-SELECT record_id, canonical_url, ts, resolved_id, resolved_ts,
-       CASE WHEN resolved_id IS NULL THEN 'no_earlier_response' WHEN tag = old_tag THEN 'resolved' ELSE 'validator_mismatch' END AS status,
-       CASE WHEN tag = old_tag THEN '{"content-length":"' || size || '","content-type":"text/html","date":"' || ts || '","etag":"' || tag || '"}' END AS headers_json
-FROM joined WHERE place = 1""",
+  FROM (SELECT * FROM named WHERE NOT complete) r LEFT JOIN (SELECT * FROM named WHERE complete) f ON f.canonical_url = r.canonical_url AND f.ts < r.ts),
+judged AS (
+  SELECT *, CASE WHEN resolved_id IS NULL THEN 'no_earlier_response'
+                 WHEN etag IS NOT NULL AND old_etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(old_etag, '^W/', '') THEN 'resolved' ELSE 'validator_mismatch' END
+                 WHEN date IS NOT NULL AND old_date IS NOT NULL THEN CASE WHEN date = old_date THEN 'resolved' ELSE 'validator_mismatch' END
+                 ELSE 'unvalidated' END AS status
+  FROM joined WHERE place = 1)
+SELECT record_id, canonical_url, ts, resolved_id, resolved_ts, status,
+       CASE WHEN status IN ('resolved', 'unvalidated') THEN '{' || concat_ws(',', '"content-length":"' || size || '"', '"content-type":"' || kind || '"', '"date":"' || ts || '"',
+            '"etag":"' || coalesce(etag, old_etag) || '"', '"last-modified":"' || coalesce(date, old_date) || '"') || '}' END AS headers_json
+FROM judged""",
     "op3_distribution_divergence": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE code WHEN '' THEN 'und' ELSE lower(code) END AS lang FROM (SELECT *, regexp_extract(coalesce(lang, ''), '^([A-Za-z]{2,3})(?:[^A-Za-z]|$)', 1) AS code FROM documents)),
 w AS (SELECT doc_id, lang, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),

@@ -46,14 +46,15 @@ def resolve_revisits(records: DataFrame, width: int = SLICE) -> DataFrame:
     * ``validator_mismatch``: entity tags (weak comparison) differ, or dates where a side has no tag;
     * ``unvalidated``: no validator in common; ``resolved``: validators agree.
 
-    ``headers_json`` (merged headers by name) is null unless resolved or unvalidated.  Of
+    ``headers_json`` (merged headers by name, without null ones) is null unless resolved or unvalidated.  Of
     responses at one time the greatest record_id counts; repeated records give repeated rows.
     """
     r = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "headers")
     lost = r.where("kind = 'revisit' and (canonical_url is null or ts is null)")
     r = r.where("kind in ('response', 'revisit') and canonical_url is not null and ts is not null").withColumn("slice", F.floor(F.col("ts") / width))
     # Maps can't be compared; the headers go along as sorted entries.
-    entries = F.array_sort(F.map_entries(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))))
+    said = F.map_filter(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda _, v: v.isNotNull())
+    entries = F.array_sort(F.map_entries(said))
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", entries.alias("entries")))
     r = r.withColumn("full", full)
     within = Window.partitionBy("canonical_url", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
@@ -69,7 +70,7 @@ def resolve_revisits(records: DataFrame, width: int = SLICE) -> DataFrame:
         .when(dates, F.when(F.col("last_modified") == F.col("base.last_modified"), "resolved").otherwise("validator_mismatch"))
         .otherwise("unvalidated")
     )
-    new = F.map_filter(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
+    new = F.map_filter(said, lambda name, _: name.isin(*PERMITTED))
     old = F.map_from_entries(F.col("base.entries"))
     merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
     merged_json = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged))))
@@ -83,17 +84,37 @@ def resolve_revisits(records: DataFrame, width: int = SLICE) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """Three captures of each page, as the table has none of its own.
+    """Four captures of each page, as the table has none of its own; k is page_id, record_id 4k + the row's number.
 
-    The page itself is a full response at time 4 * page_id.  One revisit comes just before it
-    (it can only resolve to an earlier page of the same canonical URL) and one after.
+    ==  ======  ======================================================================================
+    0   8k      the page in full; entity tag if k % 4 is 0 or 1, date of change if it is 0 or 2
+    1   8k - 1  revisit with the validators of 0: it can only resolve to an earlier page of its URL
+    2   8k + 2  revisit with a weak tag (none if k % 7 is 0) and a date; both changed if k % 5 is 0
+    3   8k + 4  ``/style.css`` of the page's host, which changes every 64 pages: in full if k % 3 is 0,
+                else a revisit, with a tag if k is even and a date; pages of a host share it
+    ==  ======  ======================================================================================
+
+    A null page_id or url stays null in its captures; a null html counts as empty.
     """
-    tag = F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
-    length = F.octet_length(F.coalesce(F.col("html"), F.lit(""))).cast("string")
-    at = F.col("page_id") * 4
-    full = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), length, F.lit("etag"), tag, F.lit("date"), at.cast("string"))
-    bare = lambda t: F.create_map(F.lit("content-length"), F.lit("0"), F.lit("etag"), tag, F.lit("date"), t.cast("string"), F.lit("x-served-by"), F.lit("edge"))
-    none = F.lit(None).cast("string")
-    capture = lambda i, t, kind, etag, headers: F.struct((F.col("page_id") * 3 + i).alias("record_id"), t.alias("ts"), F.lit(kind).alias("kind"), etag.alias("etag"), none.alias("last_modified"), headers.alias("headers"))
-    three = F.array(capture(0, at, "response", tag, full), capture(1, at - 1, "revisit", tag, bare(at - 1)), capture(2, at + 2, "revisit", F.concat(F.lit("W/"), tag), bare(at + 2)))
-    return pages.select("url", F.explode(three).alias("c")).select("url", "c.*")
+    k, html, none = F.col("page_id"), F.coalesce(F.col("html"), F.lit("")), F.lit(None).cast("string")
+    tag, day = F.md5(html.cast("binary")), F.concat(F.lit("day "), k.cast("string"))
+    version = F.floor(k / 64).cast("string")
+    changed = lambda value: F.when(k % 5 == 0, F.concat(value, F.lit("x"))).otherwise(value)
+    sheet = F.concat(F.regexp_extract(F.trim(F.col("url")), "^([^/?#]*(?://[^/?#]*)?)", 1), F.lit("/style.css"))
+
+    def capture(i: int, url: F.Column, after: int, full: F.Column, etag: F.Column, date: F.Column, kind: str, size: F.Column) -> F.Column:
+        at = k * 8 + after
+        fields = {"content-type": F.when(full, F.lit(kind)), "content-length": F.when(full, size.cast("string")).otherwise("0"), "etag": etag, "last-modified": date, "date": at.cast("string"), "x-served-by": F.when(~full, "edge")}
+        headers = F.map_filter(F.create_map(*(x for name, value in fields.items() for x in (F.lit(name), value))), lambda _, v: v.isNotNull())
+        return F.struct((k * 4 + i).alias("record_id"), url.alias("url"), at.alias("ts"), F.when(full, "response").otherwise("revisit").alias("kind"), etag.alias("etag"), date.alias("last_modified"), headers.alias("headers"))
+
+    yes, no, size = F.lit(True), F.lit(False), F.octet_length(html)
+    own = (F.when(k % 4 < 2, tag), F.when(k % 2 == 0, day))
+    weak = F.when(k % 7 != 0, F.concat(F.lit("W/"), changed(tag)))
+    four = F.array(
+        capture(0, F.col("url"), 0, yes, *own, "text/html", size),
+        capture(1, F.col("url"), -1, no, *own, "text/html", size),
+        capture(2, F.col("url"), 2, no, weak, changed(day), "text/html", size),
+        capture(3, sheet, 4, k % 3 == 0, F.when((k % 2 == 0) | (k % 3 == 0), F.concat(F.lit("v"), version)).otherwise(none), version, "text/css", F.lit(100)),
+    )
+    return pages.select(F.explode(four).alias("c")).select("c.*")
