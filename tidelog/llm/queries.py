@@ -105,12 +105,12 @@ SELECT conv_id, call_id, turn, name, status, topo, CAST(n_calls AS BIGINT) AS n_
 FROM linked""",
     "op2_warc_revisits": r"""
 WITH p AS (SELECT page_id AS k, url, coalesce(html, '') AS html, md5(coalesce(html, '')) AS tag, 'day ' || page_id AS day, CASE WHEN page_id % 5 = 0 THEN 'x' ELSE '' END AS mark,
-                  regexp_extract(trim(url), '^([^/?#]*(?://[^/?#]*)?)', 1) || '/style.css' AS sheet, CAST(page_id // 64 AS VARCHAR) AS version FROM pages),
+                  regexp_extract(trim(url), '^([^/?#]*(?://[^/?#]*)?)', 1) || '/style.css' AS sheet, page_id // 7 % 3 = 0 AS fetched, CAST(page_id // 256 AS VARCHAR) AS version FROM pages),
 records AS (
   SELECT k * 4 AS record_id, url, k * 8 AS ts, true AS complete, CASE WHEN k % 4 < 2 THEN tag END AS etag, CASE WHEN k % 2 = 0 THEN day END AS date, strlen(html) AS size, 'text/html' AS kind FROM p
   UNION ALL SELECT k * 4 + 1, url, k * 8 - 1, false, CASE WHEN k % 4 < 2 THEN tag END, CASE WHEN k % 2 = 0 THEN day END, 0, NULL FROM p
   UNION ALL SELECT k * 4 + 2, url, k * 8 + 2, false, CASE WHEN k % 7 <> 0 THEN 'W/' || tag || mark END, day || mark, 0, NULL FROM p
-  UNION ALL SELECT k * 4 + 3, sheet, k * 8 + 4, k % 3 = 0, CASE WHEN k % 2 = 0 OR k % 3 = 0 THEN 'v' || version END, version, 100, 'text/css' FROM p),
+  UNION ALL SELECT k * 4 + 3, sheet, k * 8 + 4, fetched, CASE WHEN k % 2 = 0 OR fetched THEN 'v' || version END, version, 100, 'text/css' FROM p),
 parts AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS bare FROM records),
 urls AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*(?://[^/?]*)?)', 1)), '^(http://[^:]*):80$', '\1'), '^(https://[^:]*):443$', '\1')

@@ -90,15 +90,15 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     0   8k      the page in full; entity tag if k % 4 is 0 or 1, date of change if it is 0 or 2
     1   8k - 1  revisit with the validators of 0: it can only resolve to an earlier page of its URL
     2   8k + 2  revisit with a weak tag (none if k % 7 is 0) and a date; both changed if k % 5 is 0
-    3   8k + 4  ``/style.css`` of the page's host, which changes every 64 pages: in full if k % 3 is 0,
-                else a revisit, with a tag if k is even and a date; pages of a host share it
+    3   8k + 4  ``/style.css`` of the page's host, which changes every 256 pages: in full if k div 7 is
+                a multiple of 3, else a revisit with a date and, if k is even, a tag; pages of a host share it
     ==  ======  ======================================================================================
 
     A null page_id or url stays null in its captures; a null html counts as empty.
     """
     k, html, none = F.col("page_id"), F.coalesce(F.col("html"), F.lit("")), F.lit(None).cast("string")
     tag, day = F.md5(html.cast("binary")), F.concat(F.lit("day "), k.cast("string"))
-    version = F.floor(k / 64).cast("string")
+    version, fetched = F.floor(k / 256).cast("string"), F.floor(k / 7) % 3 == 0
     changed = lambda value: F.when(k % 5 == 0, F.concat(value, F.lit("x"))).otherwise(value)
     sheet = F.concat(F.regexp_extract(F.trim(F.col("url")), "^([^/?#]*(?://[^/?#]*)?)", 1), F.lit("/style.css"))
 
@@ -115,6 +115,6 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
         capture(0, F.col("url"), 0, yes, *own, "text/html", size),
         capture(1, F.col("url"), -1, no, *own, "text/html", size),
         capture(2, F.col("url"), 2, no, weak, changed(day), "text/html", size),
-        capture(3, sheet, 4, k % 3 == 0, F.when((k % 2 == 0) | (k % 3 == 0), F.concat(F.lit("v"), version)).otherwise(none), version, "text/css", F.lit(100)),
+        capture(3, sheet, 4, fetched, F.when((k % 2 == 0) | fetched, F.concat(F.lit("v"), version)).otherwise(none), version, "text/css", F.lit(100)),
     )
     return pages.select(F.explode(four).alias("c")).select("c.*")
