@@ -51,6 +51,22 @@ def test_split_edges(spark):
     assert s.jdbc_predicates("k`x", [("", "it's"), (5, None), (None, None)]) == ["`k``x` < 'it''s'", "`k``x` >= 5", "1 = 1"]
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_splits_in_many_blocks(spark, kind):
+    """A task gets one range of the keys, in order, and nothing is kept beside the sort."""
+    rows = spark.range(3000).select((F.col("id") * 37 % 1501 - 700).cast(kind).alias("k")).union(spark.range(2000).select(F.lit(5).cast(kind))).union(spark.range(2).select(F.lit(None).cast(kind)))
+    keys = {"bigint": int, "string": str, "double": float}[kind]
+    keys = [keys(k) for k in range(-700, 801)]
+    for chunk in (2, 8, 100, 9999):
+        found = s.plan_splits(rows, "k", chunk, block_keys=50)
+        assert sorted(tuple(r) for r in found.collect()) == plain_splits(keys, chunk)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    placed = s._places(rows.where("k is not null"), False, 50)
+    assert sorted((r["place"], r["k"]) for r in placed.collect()) == list(enumerate(sorted(keys)))
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1501 and max(sizes) <= 2.5 * 50 and s.BLOCK_KEYS <= 1_000_000
+
+
 def test_starts(spark):
     rows = spark.createDataFrame([(i, "c" if i != 3 else "ddl", 1000 * i + 500 if i != 5 else None) for i in range(1, 9)], "seq long, op string, source_ts_ms long")
     got = lambda *a, **k: sorted(r["seq"] for r in s.from_start(rows, s.Startup(*a, **k), 2).collect())

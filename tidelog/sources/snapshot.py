@@ -5,23 +5,22 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys that one task orders when splits are planned.
-BLOCK_KEYS = 20_000_000
+#: Keys that one task orders when splits are planned: about 100 MB of its memory.
+BLOCK_KEYS = 1_000_000
 
 
 def plan_splits(table: DataFrame, key: str, chunk_size: int, unique: bool = False, block_keys: int = BLOCK_KEYS) -> DataFrame:
     """``split_id, low, high``: ranges ``[low, high)`` of the key, the last without ``high``.
 
     The lows are the keys at every (``chunk_size`` - 1)th place; an empty table has no split.  Only
-    the key column is read.  Ranges of the key, as many as their size asks for, are numbered by themselves and
-    moved by the counts of the ranges before, so no task orders more than about ``block_keys`` keys; only
-    the lows (one in ``chunk_size``) meet.  A range's edges are found once, so a lost executor numbers its keys as
-    before.  ``unique`` keys (a primary key of one column) need no distinct.
+    the key column is read.  Only the lows (one in ``chunk_size``) meet, each with the one before.  ``unique`` keys (a
+    primary key of one column) need no distinct.
     """
     step = chunk_size - 1
     keys = table.select(F.col(f"`{key}`").alias("k")).where("k is not null")
@@ -29,18 +28,27 @@ def plan_splits(table: DataFrame, key: str, chunk_size: int, unique: bool = Fals
         if keys.isEmpty():
             return keys.select(F.lit(0).alias("split_id"), F.col("k").alias("low"), F.col("k").alias("high")).limit(0)
         raise ValueError("chunk size 1 cannot advance over a table")
-    edges = _edges(keys, max(1, math.ceil(keys.count() / block_keys)))
+    lows = _places(keys, unique, block_keys).where(F.col("place") % step == 0).select((F.col("place") / step).cast("long").alias("split_id"), "k")
+    ends = lows.select("k", "split_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("back"))
+    of = lambda back: F.max(F.when(F.col("back") == back, F.col("k")))
+    return ends.groupBy((F.col("split_id") - F.col("back")).alias("split_id")).agg(of(0).alias("low"), of(1).alias("high")).where("split_id >= 0")
+
+
+def _places(keys: DataFrame, unique: bool, block_keys: int) -> DataFrame:
+    """``k, place``: the distinct keys with their places in order, from 0.
+
+    Ranges of the keys, as many as their number asks for, get a task each, which sorts about ``block_keys`` and counts on from the
+    ranges before.  A range's edges are found once, so a lost executor numbers its keys as before.
+    """
+    edges = _edges(keys, n) if (n := math.ceil(keys.count() / block_keys)) > 1 else []
     block = _block(edges)
     keys = keys if unique else keys.distinct()
     sizes = {r["b"]: r["n"] for r in keys.groupBy(block.alias("b")).agg(F.count("*").alias("n")).collect()}
-    starts, at = {}, 0
-    for b in sorted(sizes):
-        starts[b], at = at, at + sizes[b]
-    start = F.create_map(*(F.lit(x) for b in starts for x in (b, starts[b])))[F.col("block")] if starts else F.lit(0)
-    local = keys.withColumn("block", block).withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("k")) - 1 + start)
-    numbered = local.where(F.col("place") % step == 0).select((F.col("place") / step).cast("long").alias("split_id"), F.col("k").alias("low"))
-    nexts = numbered.select((F.col("split_id") - 1).alias("split_id"), F.col("low").alias("high"))
-    return numbered.join(nexts, "split_id", "left").select("split_id", "low", "high")
+    starts = [0, *accumulate(sizes.get(b, 0) for b in range(len(edges)))]
+    sorted_keys = keys.withColumn("block", block).repartitionById(len(starts), "block").sortWithinPartitions("k")
+    # the id's lower 33 bits count the rows of a task
+    in_block = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_keys.select("k", (in_block + F.get(F.lit(starts).cast("array<bigint>"), F.col("block"))).alias("place"))
 
 
 def _block(edges: list) -> Column:
@@ -57,13 +65,11 @@ def _block(edges: list) -> Column:
 
 def _edges(keys: DataFrame, blocks: int) -> list:
     """Keys that part the others into about equal ranges, from a sketch (numbers) or a sample (other types)."""
-    if blocks == 1:
-        return []
     kind = keys.schema["k"].dataType
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         found = keys.agg(F.percentile_approx("k", [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0]
     else:
-        some = sorted(r["k"] for r in keys.where(F.rand(7) < min(1.0, 100 * blocks / max(1, keys.count()))).collect())
+        some = sorted(r["k"] for r in keys.where(F.rand(7) < min(1.0, 100 * blocks / max(1, keys.count()))).collect() if r["k"] == r["k"])
         found = some[:: max(1, len(some) // blocks)][1:]
     return sorted(set(found))
 
