@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog import catalog
 from tidelog.operators import apply, changelog, encode
 from tidelog.operators.route import route_mixed, route_table
 from tidelog.operators.transform import apply_rule, compile_rule, project, snapshot_table
@@ -238,3 +239,22 @@ def test_read_changes(spark):
     lines = spark.createDataFrame([(json.dumps(x),) for x in text], "value string")
     got = changelog.read_changes(lines, T.StructType.fromDDL("id long, name string")).orderBy("seq").collect()
     assert got[0]["source_ts_ms"] is None and got[0]["before"]["id"] == 1 and got[1]["ddl"] == "DROP TABLE t" and got[1]["source_ts_ms"] == 7
+
+
+def test_rows_are_dealt_by_their_number(spark, tmp_path):
+    """Composite keys: tasks follow the number of rows, the table is scanned once, all events of a row are made in one place."""
+    rows = spark.range(400).select(F.floor(F.col("id") / 4).alias("l_orderkey"), F.lit(7).cast("long").alias("l_partkey"), (F.col("id") % 2).alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.col("id").cast("double").alias("l_quantity"))
+    keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    assert catalog.tasks_of(rows, 10) == 40 and catalog.tasks_of(rows) == spark.sparkContext.defaultParallelism
+    log = catalog.lineitem_log(rows.dropDuplicates(keys))
+    dealt = apply.current_state(log, keys, 40)
+    assert dealt.rdd.getNumPartitions() == 40 and sorted(dealt.collect()) == sorted(apply.current_state(log, keys).collect())
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = catalog.composite_key_apply(spark, str(tmp_path))
+    # of the rows of a key, which have equal order and supplier, the larger quantity is that of the later row
+    expected = [(k, 7, s, 1, float(4 * k + s + 2 + (k % 3 == 0))) for k in range(100) for s in range(2) if k % 4]
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    plan = catalog.composite_key_apply(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 2
+    log = catalog.lineitem_log(rows.where("l_orderkey = 12"))
+    assert sorted(tuple(r) for r in log.select("op", "seq").distinct().collect()) == [("d", 2), ("r", 0), ("u", 1)]

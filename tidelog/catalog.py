@@ -8,6 +8,7 @@ closed form, not by replaying the log.
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
@@ -215,16 +216,33 @@ def key_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.join(old, F.col("new_key") == F.col("old_key") + MOVED).select("old_key", "new_key", "o_orderstatus")
 
 
+#: Rows of a table that one task groups and makes events of.
+TASK_ROWS = 500_000
+
+
+def tasks_of(rows: DataFrame, task_rows: int = TASK_ROWS) -> int:
+    """Tasks of about ``task_rows`` rows each, however many rows there are and whatever ``spark.sql.shuffle.partitions`` says."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / task_rows))
+
+
+def lineitem_log(rows: DataFrame) -> DataFrame:
+    """Snapshot, updates and deletes by one pass over the rows."""
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    first, second, null = image(rows.columns), image(rows.columns, {"l_quantity": F.col("l_quantity") + 1}), F.lit(None)
+    one = lambda op, before, after, seq: F.struct(F.lit(op).alias("op"), before.cast(kind).alias("before"), after.cast(kind).alias("after"), F.lit(seq).alias("seq"))
+    events = F.array(one("r", null, first, 0), F.when(F.col("l_orderkey") % 3 == 0, one("u", first, second, 1)), F.when(F.col("l_orderkey") % 4 == 0, one("d", first, null, 2)))
+    flat = rows.select(F.explode(F.filter(events, lambda e: e.isNotNull())).alias("e")).select("e.*")
+    return changes(flat, F.col("op"), F.col("before"), F.col("after"), F.col("seq"), "shop", "lineitem", kind)
+
+
 @query("""WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN q + 1 ELSE q END AS l_quantity FROM l WHERE l_orderkey % 4 <> 0""")
 def composite_key_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").select(*keys, "l_quantity").groupBy(*keys).agg(F.max("l_quantity").alias("l_quantity"))
-    kind = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
-    first, second = image(rows.columns), image(rows.columns, {"l_quantity": F.col("l_quantity") + 1})
-    updates = changes(rows.where("l_orderkey % 3 = 0"), F.lit("u"), first, second, F.lit(1), "shop", "lineitem", kind)
-    deletes = changes(rows.where("l_orderkey % 4 = 0"), F.lit("d"), first, None, F.lit(2), "shop", "lineitem", kind)
-    return apply.current_state(snapshot(rows, "shop", "lineitem").unionByName(updates).unionByName(deletes), keys)
+    rows = table(spark, sf_dir, "lineitem").select(*keys, "l_quantity")
+    tasks = tasks_of(rows)
+    rows = rows.repartition(tasks, *keys).groupBy(*keys).agg(F.max("l_quantity").alias("l_quantity"))
+    return apply.current_state(lineitem_log(rows), keys, tasks)  # a key has three events at most
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:

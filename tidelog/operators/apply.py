@@ -33,18 +33,22 @@ def any_null(row: str, keys: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.col(f"{row}.`{k}`").isNull() for k in keys))
 
 
-def last_writes(writes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def last_writes(writes: DataFrame, keys: tuple[str, ...], tasks: int | None = None) -> DataFrame:
     """The last write of each key: one aggregation, combined before the shuffle.
 
     So a key with very many changes sends one row per task, and no key's changes are ever sorted.
     Sequence numbers lie below 2^62.  Where tables are merged, the one of the higher ``rank`` wins a tie.  A null key raises
-    here, for batches, streams and writers alike: it would never meet its row again.
+    here, for batches, streams and writers alike: it would never meet its row again.  Where no key has many writes, ``tasks`` deals
+    them out uncombined to so many tasks, whatever ``spark.sql.shuffle.partitions`` says.
     """
     writes = writes.where(F.when(any_null("row", keys), F.raise_error(F.lit("a key is null"))).otherwise(F.lit(True)))
     order = F.col("seq") * 2 + F.col("sub_seq")
     if RANK in writes.columns:
         order = F.struct(order, F.col(RANK))
-    by = [F.col(f"row.`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]
+    by = {f"__k{i}": F.col(f"row.`{k}`") for i, k in enumerate(keys)}
+    writes = writes.withColumns(by)
+    if tasks:
+        writes = writes.repartition(tasks, *by)
     return writes.groupBy(*by).agg(F.max_by(F.struct("row", "deleted"), order).alias("w")).select("w.row", "w.deleted")
 
 
@@ -53,8 +57,8 @@ def null_keys(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return log.where((F.col("op").isin("r", "c", "u") & any_null("after", keys)) | (F.col("op").isin("d", "u") & any_null("before", keys) & F.col("before").isNotNull()))
 
 
-def current_state(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The table that the log leaves behind.
+def current_state(log: DataFrame, keys: tuple[str, ...], tasks: int | None = None) -> DataFrame:
+    """The table that the log leaves behind; ``tasks`` as in ``last_writes``.
 
     Without keys rows are appended, replays twice, and deletes can't be carried out.  A row that
     only has key columns needs nothing special.  A null key raises.
@@ -62,7 +66,7 @@ def current_state(log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     if not keys:
         bad = F.when(F.col("op") == "d", F.raise_error(F.lit("a table without keys has no key for delete")))
         return log.where(F.col("op").isin("r", "c", "u") | bad.isNotNull()).select("after.*")
-    return last_writes(split_key_changes(log, keys), keys).where("not deleted").select("row.*")
+    return last_writes(split_key_changes(log, keys), keys, tasks).where("not deleted").select("row.*")
 
 
 def merge_state(base: DataFrame, log: DataFrame, keys: tuple[str, ...]) -> DataFrame:
