@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Keys that one task orders when splits are planned: about 100 MB of its memory.
+#: Keys that one task orders when splits are planned: about 130 MB of its memory.
 BLOCK_KEYS = 1_000_000
 
 
